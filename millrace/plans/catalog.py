@@ -1,4 +1,6 @@
 """Every query of the core: name to callable, and name to DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from millrace.plans import corpus_queries, retrieval_queries, text_queries
+
+QUERIES: dict = {**text_queries.QUERIES, **corpus_queries.QUERIES, **retrieval_queries.QUERIES}
+ORACLES: dict = {**text_queries.ORACLES, **corpus_queries.ORACLES, **retrieval_queries.ORACLES}
