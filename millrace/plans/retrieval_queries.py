@@ -235,7 +235,7 @@ ORACLES = {
     "q_chat_context": "with a as (select distinct asker_id, created_at, chat_id from coding_chat where asker_id is not null) select asker_id, chat_id, row_number() over (partition by asker_id order by created_at desc nulls last, chat_id desc) as rn from a qualify rn <= 10",
     "q_chat_last": "select asker_id, count(*) as n, max(created_at) as last_at from coding_chat where asker_id is not null group by asker_id",
     "q_rolling_metrics": "select event_id, round(avg(value) over w, 6) as mean100, round(max(value) over w, 6) as max100 from events window w as (partition by event_type order by ts, event_id rows between 99 preceding and current row)",
-    "q_sessions": "with a as (select *, case when ts >= lag(ts) over (partition by user_id order by ts, event_id) + interval 1 hour then 1 when lag(ts) over (partition by user_id order by ts, event_id) is null then 1 else 0 end as new from events), b as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as sid from a) select user_id, epoch(min(ts))::bigint as started, count(*) as n, round(sum(value), 4) as total from b group by user_id, sid",
+    "q_sessions": "with a as (select *, case when ts >= lag(ts) over (partition by user_id order by ts, event_id) + interval 1 hour then 1 when lag(ts) over (partition by user_id order by ts, event_id) is null then 1 else 0 end as new from events), b as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as sid from a) select user_id, floor(epoch(min(ts)))::bigint as started, count(*) as n, round(sum(value), 4) as total from b group by user_id, sid",
     "q_provider_stats": "select event_type, count(*) as requests, sum((value > 50)::bigint)::bigint as errors, round(avg(value), 6) as avg_value, arg_min(event_id, row(value, event_id)) as best from events group by event_type",
     "q_perplexity_stats": "select event_type, round(exp(avg(value / 100)), 6) as ppl, round(stddev_pop(value / 100), 6) as std, round(min(value / 100), 6) as least, round(max(value / 100), 6) as most from events group by event_type",
     "q_win_rate": "with m as (select user_id, round(avg(value), 6) as m from events group by user_id) select user_id, round((rank() over (order by m) - 1) / greatest(count(*) over () - 1, 1), 6) as win_rate from m",
