@@ -291,10 +291,17 @@ def samples_of(text: str, label: str) -> list[tuple[list[str], int]]:
     return out
 
 
+def first_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows of the lowest hashes of their key. The cut is found on hashes alone, so no task sends texts that are not chosen."""
+    h = F.xxhash64(F.col(key))
+    cut = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return df.where(h <= cut).limit(n) if cut is not None else df.limit(0)
+
+
 def fit(docs: DataFrame, common: DataFrame | None = None, text: str = "text", label: str = "lang", key: str = "doc_id", p: Params = Params()) -> Model:
     """Train on a bounded sample of labelled rows (``sample_rows`` in hash order)."""
     labelled = docs.select(text, label, key).where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.length(F.trim(text)) > 20))
-    got = labelled.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(p.sample_rows).toPandas()
+    got = first_by_hash(labelled, key, p.sample_rows).toPandas()
     rows = [(t, lab) for t, lab in zip(got[text], map(normal_label, got[label])) if lab]
     seeds = [(code_words(line), CLASSES.index(c)) for c, lines in CODE_SEEDS.items() for line in lines] * 3
     if common is not None:

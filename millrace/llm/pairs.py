@@ -343,7 +343,7 @@ def response_words(chat: DataFrame, least: int = 6, most: int = 20_000) -> froze
 
 def fit_language(chat: DataFrame, common: dict[str, frozenset[str]], rows: int = 3000) -> lid.Model:
     """The subword classifier, fitted on a bounded sample of instructions and responses labelled by their common words."""
-    got = chat.select("chat_id", "instruction", "response").orderBy(F.xxhash64("chat_id"), "chat_id").limit(rows).toPandas()
+    got = lid.first_by_hash(chat.select("chat_id", "instruction", "response"), "chat_id", rows).toPandas()
     samples = []
     for col in ("instruction", "response"):
         for t in got[col]:
