@@ -214,9 +214,10 @@ def train(samples: list[tuple[list[str], int]], p: Params = Params()) -> Model:
     bias = np.zeros(k, np.float32)
     counts = np.bincount([data[i][1] for i in fit], minlength=k) if len(fit) else np.ones(k)
     weight = np.sqrt(counts.max() / np.maximum(counts, 1)).clip(1, 6).astype(np.float32)
-    steps, t = max(1, p.epochs * (len(fit) // 16 + 1)), 0
-    for epoch in range(p.epochs):
-        if epoch == p.epochs // 2 and epoch:
+    epochs = max(p.epochs, min(40, -(-1500 // (len(fit) // 16 + 1))))  # few samples are gone over more often
+    steps, t = max(1, epochs * (len(fit) // 16 + 1)), 0
+    for epoch in range(epochs):
+        if epoch == epochs // 2 and epoch:
             keep = []
             for i in fit:
                 z = emb[data[i][0]].mean(0) @ out + bias
@@ -318,7 +319,7 @@ def is_code(text: str) -> bool:
     """Whether most of a text, outside of fences and comments, is code lines."""
     if "```" in text:
         text = FENCED.sub("\n", text)
-    signs = text.count("(") + text.count(";") + text.count("{") + text.count("=") + text.count(" * ")
+    signs = text.count("(") + text.count("[") + text.count(":\n") + text.count(";") + text.count("{") + text.count("=") + text.count(" * ")
     if signs < 2 or signs * 1500 < len(text):
         return False
     bare = COMMENT.sub("", text)
