@@ -2,10 +2,11 @@
 
 Labelled exemplars of residue (and of texts that only explain residue) sit in an
 inverted index from token to exemplar.  A text is cut into passage windows
-(lines and sentences); the windows that hold an anchor token retrieve exemplars,
+(lines and sentences); every exemplar token of a window retrieves exemplars,
 and the TF-IDF weight of the window that an exemplar contains, over the weight
 of the whole window, is the containment.  Document frequencies of the exemplar
-vocabulary are counted over the whole corpus.
+vocabulary are counted over the distinct texts of the whole corpus, so copies of
+a notice don't make its words common.
 
 Defined results: a null or blank text has no window, coverage 0 and is kept.
 Repeated rows each get their own result.  Extra columns are carried through;
@@ -18,7 +19,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -269,12 +271,12 @@ Lorem ipsum is the usual filler text in layouts.
 class Params:
     """threshold: containment at which a window counts as its exemplar's residue; ph_threshold: the same for windows that hold
     a placeholder; coverage: share of the text's characters in residue windows from which the text is mainly residue;
-    anchor_df: tokens in more than this share of the corpus retrieve nothing; ph_weight: idf of the placeholder sign."""
+    prior: number of documents that the guess of a token's frequency by its length counts for; ph_weight: idf of the placeholder sign."""
 
     threshold: float = 0.62
     ph_threshold: float = 0.42
     coverage: float = 0.5
-    anchor_df: float = 0.01
+    prior: float = 20.0
     ph_weight: float = 18.0
 
 
@@ -284,24 +286,25 @@ class Index:
     postings: dict[str, list[int]]
     idf: dict[str, float]
     unseen: float
-    anchors: set[str]
+    sizes: list[float]
+    keys: set[str]  # the longer tokens, and the rarest ones of each exemplar: a window that holds none is no evidence on its own
     params: Params
-    sizes: list[float] = field(default_factory=list)
+
+
+@lru_cache(1 << 16)
+def _forms(t: str) -> tuple[str, ...]:
+    if t == PH:
+        return (t,)
+    if not t.isascii() and CJK.search(t):
+        return tuple(t[i : i + 2] for i in range(max(1, len(t) - 1)))
+    if t.isdigit():
+        return ("0",)
+    return () if NAME.search(t) else (t.lower(),)
 
 
 def _tokens(s: str) -> list[str]:
     """Lower-cased words, numbers as 0, runs of Chinese or Japanese as bigrams; identifiers are names and left out."""
-    out = []
-    for t in TOKEN.findall(s):
-        if t == PH:
-            out.append(t)
-        elif not t.isascii() and CJK.search(t):
-            out.extend(t[i : i + 2] for i in range(max(1, len(t) - 1)))
-        elif t.isdigit():
-            out.append("0")
-        elif not NAME.search(t):
-            out.append(t.lower())
-    return out
+    return [x for t in TOKEN.findall(s) for x in _forms(t)]
 
 
 def _vocabulary_in(low: str, wanted: frozenset[str] | set[str]) -> set[str]:
@@ -321,38 +324,40 @@ VOCABULARY = frozenset().union(*(t for _, t in exemplars()))
 
 
 def document_frequencies(df: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
-    """Documents in all, and with each token of the exemplar vocabulary (a fixed set, so the result is bounded)."""
+    """Distinct texts in all, and with each token of the exemplar vocabulary (a fixed set, so the result is bounded).
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        n = 0
+    Only a digest and the vocabulary of each text are shuffled.
+    """
+
+    def vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for t in b[text]:
-                if isinstance(t, str) and t:
-                    n += 1
-                    seen.update(_vocabulary_in(t.lower(), VOCABULARY))
-        yield pd.DataFrame({"token": ["", *seen], "n": [n, *seen.values()]})
-
-    got = spread(df.select(text)).mapInPandas(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
-    n = {r.token: r.n for r in got}
+            yield pd.DataFrame({"h": b["h"], "tokens": [["", *_vocabulary_in(t.lower(), VOCABULARY)] for t in b[text]]})
+
+    texts = spread(df.select(text).where(F.col(text).isNotNull() & (F.col(text) != ""))).select(F.unhex(F.md5(text)).alias("h"), text)
+    each = texts.mapInPandas(vocabulary, "h binary, tokens array<string>").groupBy("h").agg(F.first("tokens").alias("tokens"))
+    n = {r.token: r.n for r in each.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
     return n.pop("", 0), n
 
 
 def build_index(n_docs: int, df: dict[str, int], params: Params = Params()) -> Index:
     ex = exemplars()
-    top = math.log(1 + max(n_docs, 1))
-    idf = {t: min(math.log((1 + n_docs) / (1 + df.get(t, 0))) + 0.3, top + 0.3) for t in VOCABULARY}
-    if n_docs < 200:  # too few documents to tell common words
-        idf = {t: 1.0 + 0.4 * min(len(t), 8) for t in VOCABULARY}
+    # without documents the idf is a guess by the token's length, which counts as ``prior`` documents beside the corpus
+    idf = {t: math.log((params.prior + n_docs) / (params.prior * math.exp(-0.7 - 0.4 * min(len(t), 8)) + df.get(t, 0))) + 0.3 for t in VOCABULARY}
     idf[PH] = params.ph_weight
     idf["0"] = 1.0
-    unseen = max(5.0, min(top, 9.0))
+    unseen = max(5.0, min(math.log(1 + max(n_docs, 1)), 9.0))
     postings: dict[str, list[int]] = {}
+    sizes: list[float] = []
+    keys = {t for t in VOCABULARY if len(t) > 3 or not t.isascii()}
     for k, (_, tokens) in enumerate(ex):
-        for t in tokens:
+        own: set[str] = set()
+        for t in sorted(tokens, key=lambda t: (-idf[t], t)):
             postings.setdefault(t, []).append(k)
-    anchors = {t for t in VOCABULARY if df.get(t, 0) <= params.anchor_df * n_docs and t != "0" and (len(t) > 3 or t in (PH, "tbd", "todo") or not t.isascii())} | {PH}
-    return Index([label for label, _ in ex], postings, idf, unseen, anchors, params)
+            if sum(idf[x] for x in own) < 0.5 * sum(idf[x] for x in tokens):
+                own.add(t)
+        sizes.append(sum(idf[t] for t in tokens))
+        keys |= own
+    return Index([label for label, _ in ex], postings, idf, unseen, sizes, keys, params)
 
 
 def _holds_placeholder(text: str) -> bool:
@@ -364,30 +369,28 @@ def _holds_placeholder(text: str) -> bool:
     return False
 
 
-def match(window: list[str], ix: Index) -> tuple[float, str]:
-    """Best containment over all exemplars and its label; explanations win ties."""
+def match(window: list[str], ix: Index) -> tuple[float, str, bool]:
+    """Best containment over all exemplars, its label, and whether the window holds a key. Of exemplars with as
+    much of the window, the one it holds most of wins, and explanations before others."""
     tokens = set(window)
-    whole = sum(ix.idf.get(t, ix.unseen) for t in tokens)
+    known = [(t, ix.idf[t]) for t in tokens if t in ix.idf]
+    weight = sum(w for _, w in known)
+    whole = weight + ix.unseen * (len(tokens) - len(known))
+    if weight < min(ix.params.threshold, ix.params.ph_threshold) * whole or not known:  # no exemplar can reach a threshold
+        return 0.0, "", False
     got: dict[int, float] = {}
-    for t in tokens:
-        w = ix.idf.get(t)
-        if w:
-            for k in ix.postings.get(t, ()):
-                got[k] = got.get(k, 0.0) + w
-    if not got:
-        return 0.0, ""
-    best = max(got, key=lambda k: (got[k], ix.labels[k] == "explain"))
-    return got[best] / whole, ix.labels[best]
+    for t, w in known:
+        for k in ix.postings[t]:
+            got[k] = got.get(k, 0.0) + w
+    best = max(got, key=lambda k: (round(got[k], 9), round(got[k] / ix.sizes[k], 9), ix.labels[k] == "explain"))
+    return got[best] / whole, ix.labels[best], not tokens.isdisjoint(ix.keys)
 
 
 def judge(text: str | None, ix: Index) -> tuple[bool, str, float, int]:
     """Residue or not, its kind, the share of the text in residue windows, and the number of filled-in-nowhere placeholders."""
     if not isinstance(text, str) or not text or text.isspace():
         return False, "", 0.0, 0
-    low = text.lower()
     has_ph = _holds_placeholder(text)
-    if not has_ph and not _vocabulary_in(low, ix.anchors):
-        return False, "", 0.0, 0
     body = text.replace("JavaScript", "Javascript").replace("\r", "").replace("\ufeff", "")
     if "`" in body or "~~~" in body:
         body = TICKED.sub("  ", FENCED.sub("\n", body))
@@ -395,7 +398,7 @@ def judge(text: str | None, ix: Index) -> tuple[bool, str, float, int]:
         return False, "", 0.0, 0
     p = ix.params
     code = 0
-    windows: list[tuple[str, bool]] = []
+    windows: list[str] = []
     for line in body.split("\n"):
         if not line or line.isspace():
             continue
@@ -406,38 +409,33 @@ def judge(text: str | None, ix: Index) -> tuple[bool, str, float, int]:
             n = 0.8 * len(line.strip())
             line = QUOTED.sub(lambda m: m[0] if len(m[0]) > n else "  ", line)
         marked = TAG.sub(" . ", PLACEHOLDER.sub(PH, line) if has_ph else line) if "<" in line or has_ph else line
-        windows.extend((w, PH in w or bool(_vocabulary_in(w.lower(), ix.anchors))) for w in WINDOW.split(marked) if w and not w.isspace())
-    whole = code + sum(len(w.strip()) for w, _ in windows)
+        windows.extend(w for w in WINDOW.split(marked) if w and not w.isspace())
+    whole = code + sum(len(w.strip()) for w in windows)
     covered = chrome = placeholders = 0
     kinds: Counter = Counter()
 
-    def weigh(w: str) -> None:
-        nonlocal covered, chrome, placeholders
+    evidence = False
+    for w in windows:
         toks = _tokens(w)
         if not toks:
-            return
+            continue
         size = len(w.strip())
-        share, label = match(toks, ix)
+        share, label, keyed = match(toks, ix)
         if PH in toks:
             if label != "explain" and share >= p.ph_threshold:
                 placeholders += 1
                 kinds["placeholder"] += size
                 covered += size
+                evidence = True
         elif share >= p.threshold and label not in ("explain", "placeholder"):
             if label == "chrome":
                 chrome += size
             else:
                 covered += size
                 kinds[label] += size
-
-    for w, anchored in windows:
-        if anchored:
-            weigh(w)
-    if not kinds:
+                evidence = evidence or keyed
+    if not evidence:  # windows without a key count only beside others
         return False, "", 0.0, placeholders
-    for w, anchored in windows:  # windows without an anchor count only beside anchored ones
-        if not anchored:
-            weigh(w)
     cover = covered / max(1, whole - chrome)
     hit = placeholders > 0 and code < 0.5 * whole or cover >= p.coverage
     return hit, "placeholder" if placeholders else kinds.most_common(1)[0][0], round(min(cover, 1.0), 6), placeholders

@@ -184,3 +184,17 @@ def test_residue():
     assert all(residue.judge(t, ix)[0] for t in hit)
     assert not any(residue.judge(t, ix)[0] for t in miss)
     assert residue.judge(hit[0] + "\n\n" + miss[-1] * 30, ix)[0]
+
+
+def test_residue_is_found_however_frequent_it_is(spark):
+    # every exemplar word in a third of the rows: an exemplar as a whole document is found at any size of the corpus
+    for n in (0, 150, 9000, 10**7):
+        ix = residue.build_index(n, {t: n // 3 for t in residue.VOCABULARY})
+        for t in ("This page needs JavaScript.", "Error 502: Bad gateway", "Gateway timeout", "404 Not Found", "Please try again later.", "test test test test"):
+            assert residue.judge(t, ix)[0], (n, t)
+        assert not residue.judge("It is not here. The team is on it.", ix)[0]
+    prose = ["The parser returns an empty list when the network is gone, and nobody could say why.", "We moved the lock manager to a plain file."]
+    rows = [(i, "Error 502: Bad gateway" if i % 3 == 0 else f"{prose[i % 2]} Run {i}.") for i in range(300)] + [(300, None), (301, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert residue.document_frequencies(df)[0] == 201
+    assert {r.doc_id for r in residue.detect(df, keep=["doc_id"]).where("is_residue").collect()} == set(range(0, 300, 3))
