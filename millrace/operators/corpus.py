@@ -63,14 +63,36 @@ def shingles(c: Column, width: int = 5) -> Column:
     return F.when(n < 1, whole).otherwise(F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x))))
 
 
+def _digested(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """key, shingle set and its digest of each text that is neither null nor empty; texts of white space alone are equal."""
+    return df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, shingles(F.col(text), width).alias("s")).withColumn("_d", F.xxhash64(F.sort_array("s")))
+
+
+def shingle_sets(df: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
+    """Each distinct shingle set once: its least key (the representative), the set s and its size n."""
+    return materialize(_digested(df, key, text, width).groupBy("_d").agg(F.min(F.struct(key, "s")).alias("x")).select("x.*").withColumn("n", F.size("s")), "shingles")
+
+
+def shingle_classes(df: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
+    """key and class (the representative in ``shingle_sets``) of each text that is neither null nor empty."""
+    d = materialize(_digested(df, key, text, width).select(key, "_d"), "classes")
+    return d.join(d.groupBy("_d").agg(F.min(key).alias("class")), "_d").select(key, "class")
+
+
 def jaccard_pairs(df: DataFrame, key: str, text: str, t: float = 0.8, width: int = 5) -> DataFrame:
     """DD11: pairs a < b of different texts with Jaccard similarity of at least t, exactly.
 
-    Equal shingle sets are joined once (by their least key). Shingles are ordered by rarity; two sets within the
-    threshold share one of the first n - ceil(t n) + 1 of each, so only those are joined.
+    Equal shingle sets are joined once (by their least key); ``shingle_classes`` tells which records they stand for.
+    """
+    return similar_sets(shingle_sets(df, key, text, width), key, t)
+
+
+def similar_sets(s: DataFrame, key: str, t: float = 0.8) -> DataFrame:
+    """Pairs a < b of ``shingle_sets`` with Jaccard similarity of at least t.
+
+    Shingles are ordered by rarity; two sets within the threshold share one of the first n - ceil(t n) + 1 of each,
+    so only those are joined.
     """
-    s = df.where(F.col(text).isNotNull() & (F.trim(text) != "")).select(key, shingles(F.col(text), width).alias("s")).withColumn("_d", F.xxhash64(F.sort_array("s")))
-    s = materialize(s.groupBy("_d").agg(F.min(F.struct(key, "s")).alias("x")).select("x.*").withColumn("n", F.size("s")), "shingles")
     flat = s.select(key, "n", F.explode("s").alias("h"))
     df_ = flat.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
     # shingles of one set only can't meet anything, but keep their place in the order: they come first

@@ -36,8 +36,15 @@ def q_near_dup_pairs(s, d):
     return x.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def q_near_dup_classes(s, d):
+    """For each document with text, the document that stands for its shingle set in q_near_dup_pairs."""
+    return C.shingle_classes(t(s, d), "doc_id", "text")
+
+
 def q_near_dup_survivors(s, d):
-    return C.greedy_keep(t(s, d), C.jaccard_pairs(t(s, d), "doc_id", "text"), "doc_id")
+    """Documents kept; copies of a representative, and null and empty texts, are not."""
+    sets = C.shingle_sets(t(s, d), "doc_id", "text")
+    return C.greedy_keep(sets, C.similar_sets(sets, "doc_id"), "doc_id")
 
 
 def q_line_dedup(s, d):

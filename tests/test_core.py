@@ -66,6 +66,17 @@ def test_jaccard_pairs_against_brute_force(spark):
     assert kept == set(range(len(texts))) - {max(p) for p in want}
 
 
+def test_near_dup_survivors_drop_copies(spark, tmp_path):
+    from millrace.plans.corpus_queries import q_near_dup_classes, q_near_dup_pairs, q_near_dup_survivors
+
+    a, b = " ".join(f"w{i}" for i in range(40)), "an entirely different text of seven words"
+    texts = [a, a.upper(), a.replace(" ", "  "), f"{a} more", f"{a}  MORE", b, b, None, "", " ", "\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.a, r.b) for r in q_near_dup_pairs(spark, str(tmp_path)).collect()} == {(0, 3)}
+    assert {r.doc_id: r["class"] for r in q_near_dup_classes(spark, str(tmp_path)).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 5, 9: 9, 10: 9}
+    assert {r.doc_id for r in q_near_dup_survivors(spark, str(tmp_path)).collect()} == {0, 5, 9}
+
+
 def test_balance_and_split(spark):
     df = spark.createDataFrame([(i, "ab"[i % 5 == 0]) for i in range(20)], "id long, g string")
     assert C.first_n(df, "g", [F.col("id")], 3).count() == 6
