@@ -279,11 +279,11 @@ def similar_records(df: DataFrame, key: str = "rec_id", columns: list[str] | Non
     return members, materialize(similar_sets(reps, key, t, leaf), "links")
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component (its least node): alternating large-star and small-star steps until the edges stay the same."""
     e = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
     before = None
-    for _ in range(most):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

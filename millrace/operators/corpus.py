@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,21 +109,34 @@ def similar_sets(s: DataFrame, key: str, t: float = 0.8) -> DataFrame:
     return x.withColumn("similarity", both / (F.size("_x") + F.size("_y") - both)).where(F.col("similarity") >= t).select("a", "b", "similarity")
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str, most: int = 50) -> DataFrame:
+def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str, few: int = 1 << 20) -> DataFrame:
     """Keys that a pass in key order keeps, dropping each that is similar to a kept earlier one.
 
     Rounds on the pair list alone: a record without an undecided or kept earlier partner is kept, its later partners go.
+    Each round decides at least the least undecided key, so the rounds end; long chains of versions take many, so once
+    at most ``few`` pairs are undecided, one task passes over them in key order.
     """
     edges = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "edges")
     dropped = None
-    for _ in range(most):
-        if edges.isEmpty():
-            break
+    while edges.count() > few:
         kept = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         gone = materialize(edges.join(kept, "a", "left_semi").select("b").distinct(), "gone")
         dropped = gone if dropped is None else dropped.unionByName(gone)
         edges = materialize(edges.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti"), "edges")
-    return nodes.select(key) if dropped is None else nodes.select(key).join(dropped.distinct().select(F.col("b").alias(key)), key, "left_anti")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: set = set()
+        for p in batches:
+            new = []
+            for a, b in zip(p["a"].tolist(), p["b"].tolist()):  # all pairs that could drop a came before
+                if a not in out and b not in out:
+                    out.add(b)
+                    new.append(b)
+            yield pd.DataFrame({"b": pd.Series(new, dtype=p["b"].dtype)})
+
+    rest = edges.repartition(1).sortWithinPartitions("a", "b").mapInPandas(walk, f"b {edges.schema['b'].dataType.simpleString()}")
+    dropped = rest if dropped is None else dropped.unionByName(rest)
+    return nodes.select(key).join(dropped.distinct().select(F.col("b").alias(key)), key, "left_anti")
 
 
 def index_percentile(df: DataFrame, value: str, shares: list[float]) -> DataFrame:

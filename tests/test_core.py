@@ -77,6 +77,14 @@ def test_near_dup_survivors_drop_copies(spark, tmp_path):
     assert {r.doc_id for r in q_near_dup_survivors(spark, str(tmp_path)).collect()} == {0, 5, 9}
 
 
+@pytest.mark.parametrize("few", [1 << 20, 120])
+def test_greedy_keep_finishes_long_chains(spark, few):
+    n = 130
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    assert {r.id for r in C.greedy_keep(nodes, chain, "id", few).collect()} == set(range(0, n, 2))
+
+
 def test_balance_and_split(spark):
     df = spark.createDataFrame([(i, "ab"[i % 5 == 0]) for i in range(20)], "id long, g string")
     assert C.first_n(df, "g", [F.col("id")], 3).count() == 6
