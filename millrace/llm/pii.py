@@ -1,9 +1,7 @@
 """Personal information in free text (problem 5).
 
-A character-level bidirectional LSTM with a CRF on top, in numpy.  Regions of a text
-around signs that any personal information has (an at sign, enough digits, a street
-word, neighbouring capitalised words) are cut into overlapping windows; equal windows
-are decoded once, windows are decoded in batches by Viterbi, their labels are stitched
+A character-level bidirectional LSTM with a CRF on top, in numpy.  The whole text is
+cut into overlapping windows; equal windows are decoded once, windows are decoded in batches by Viterbi, their labels are stitched
 where windows overlap (each character keeps the label of the window in whose middle it
 lies most), and spans are read off the stitched labels of the whole text.  A last
 exact check drops spans that can't be of their kind and moves starts to word starts.
@@ -33,7 +31,7 @@ from millrace.runtime import spread
 KINDS = ["email", "phone", "idnum", "address", "name"]
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in ("B", "I")]
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
-WIDTH, STRIDE, MARGIN = 112, 64, 26
+WIDTH, STRIDE = 112, 64
 
 
 @lru_cache(1)
@@ -100,6 +98,23 @@ class Tagger:
         f = self.states(xt, "f")
         b = self.states(xt[::-1], "b")[::-1]
         emit = f @ self.w["vf"] + b @ self.w["vb"] + self.w["c"]
+        path = np.zeros(x.shape, np.uint8)
+        open_ = np.flatnonzero(self.gain(emit) > 0)
+        if len(open_):
+            path[open_] = self.viterbi(emit[:, open_])
+        return path
+
+    def gain(self, emit: np.ndarray) -> np.ndarray:
+        """For each window a bound on what any labels gain over none at all: where it isn't positive, no label is best.
+
+        Each labelled character is charged with the best transition into its label and out of it to none.
+        """
+        a, s = self.w["a"], self.w["s"]
+        into = np.maximum(a.max(0), (s - s[0] + a[0, 0])) - a[0, 0]
+        out = np.maximum(a[:, 0] - a[0, 0], 0)
+        return (emit[:, :, 1:] - emit[:, :, :1] + (into + out)[1:]).max((0, 2))
+
+    def viterbi(self, emit: np.ndarray) -> np.ndarray:
         a = self.w["a"]
         score = emit[0] + self.w["s"]
         back = np.empty((len(emit), *score.shape), np.uint8)
@@ -107,9 +122,9 @@ class Tagger:
             m = score[:, :, None] + a
             back[t] = m.argmax(1)
             score = m.max(1) + emit[t]
-        path = np.empty(x.shape, np.uint8)
+        path = np.empty((emit.shape[1], len(emit)), np.uint8)
         at = score.argmax(1)
-        rows = np.arange(len(x))
+        rows = np.arange(len(path))
         for t in range(len(emit) - 1, -1, -1):
             path[:, t] = at
             if t:
@@ -117,52 +132,8 @@ class Tagger:
         return path
 
 
-STREET = r"(?:Street|St|Avenue|Ave|Drive|Lane|Ln|Road|Rd|Way|Court|Ct|Blvd|Boulevard|Terrace|Place|Square|Parkway|Highway|Close|Crescent|rue|Rue|boulevard|avenue|allée|chemin|quai|impasse|Calle|calle|Avenida|avenida|Av|Plaza|plaza|Paseo|paseo|Carrera|Via|via|Viale|viale|Piazza|piazza|Corso|corso|Rua|rua|Travessa|travessa|Praça|praça|Largo)"
-TRIGGER = re.compile(
-    r"(?P<at>@|[(\[{<] ?(?:at|AT|At) ?[)\]}>]|\b(?:at|AT) [\w-]+(?: [\w-]+)? ?(?:dot|DOT|\(dot\)|\[dot\]) \w)"
-    r"|(?P<card>\b[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]?\b)"
-    r"|(?P<num>\(?\+?\d[\d ().\-/]{4,}\d)"
-    r"|(?P<street>\b\d+[a-z]? (?:bis |ter )?(?:[NSEW]\.? |North |South |East |West )?[A-Z][\w'’.-]+(?: [A-Z][\w'’.-]+)? (?:STREET|ST|AVENUE|AVE|DRIVE|LANE|ROAD|WAY|COURT|BLVD|Street|St|Avenue|Ave|Drive|Lane|Ln|Road|Rd|Way|Court|Ct|Blvd|Boulevard|Terrace|Place|Square|Close)\b"
-    r"|\bC/ ?[A-Z]|\b(?:\d+,? (?:bis,? |ter,? )?)?(?:rue|Rue|RUE|boulevard|allée|chemin|quai|impasse|Calle|calle|CALLE|Avenida|avenida|avenue|Plaza|plaza|Paseo|paseo|Via|via|Viale|viale|Piazza|piazza|Corso|corso|Rua|rua|RUA|Travessa|travessa|Praça|praça|Largo) (?:de |del |de la |da |do |dos |des |du |della |di )?[A-Z][\w'’-]+|[A-ZÄÖÜ][\w'’-]*(?:str\.|stra(?:ß|ss)e|STR\.|STRASSE|weg|gasse|platz|allee|ring|damm) \d)"
-    r"|(?P<name>[A-ZÀ-ÖØ-Þ][\w'’-]+,? (?:[A-Z]\.? ?)?[A-ZÀ-ÖØ-Þ][\w'’]+)"
-)
-#: Capitalised words that begin sentences or code and are no names (fixed values).
-STARTERS = frozenset(
-    "the a an in on at of for and or if it is as with by to from we you i my our your this that these those there what when where who why how which since after before both please do nothing set run call each whenever thanks anyone about notes setup using changes trouble usage hey hi hello dear regards project driver step row page menu home error http version commit "
-    "der die das ein eine es wir ich was wie wer man seit nach vor bei dank jeder diese dieser unser unsere hinweise einrichtung änderungen hallo viele in im am auf von zu und oder mit für "
-    "le la les un une des il elle nous vous je ce cette si grâce depuis chaque notre notes dans en sur pour par à au aux et ou "
-    "el los las una lo si se en de del al para por con desde cada hay nuestro nuestra notas hola gracias también esta este no y o "
-    "o os as um uma em no na nos nas de do da para por com desde cada há nossa nosso notas olá graças também este esta não e "
-    "il lo gli i uno in nel nella su per con da di del dalla dal ogni ci nostro note grazie questa questo non e "
-    "select from where join create table primary key not null default update insert delete into values and or order group by count as bigint text int varchar limit desc asc in is set".split()
-)
-
-
-def regions(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around triggers, with a margin; near ones run together."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        kind = m.lastgroup
-        a, b = m.span()
-        if kind == "num":
-            if sum(map(str.isdigit, m[0])) < 7:
-                continue
-        elif kind == "name":
-            first, *_, last = re.split(r"[ ,]+", m[0])
-            if first.lower() in STARTERS and text[b : b + 1].isspace() and not re.match(r"\s[A-ZÀ-Þ]", text[b : b + 2]) or last.lower() in STARTERS:
-                continue
-            if first.lower() in STARTERS and not re.match(r",? (?:[A-Z]\.? )?[A-ZÀ-Þ]|-[A-Z]", text[b : b + 6]):
-                continue
-        a, b = max(0, a - MARGIN), min(len(text), b + MARGIN)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 def windows(a: int, b: int) -> list[tuple[int, int]]:
-    """Overlapping windows that cover a region."""
+    """Overlapping windows that cover the text from a to b."""
     if b - a <= WIDTH:
         return [(a, b)]
     n = -(-(b - a - WIDTH) // STRIDE)
@@ -172,20 +143,11 @@ def windows(a: int, b: int) -> list[tuple[int, int]]:
 
 def decode_all(texts: list[str | None], tagger: Tagger, batch: int = 512) -> list[list[tuple[str, int, int]]]:
     """Spans (kind, start, end) of each text."""
-    plan: list[tuple[int, int, int, int]] = []  # text, region start, window start, window end
-    keys: list[bytes] = []
-    regs: list[list[tuple[int, int]]] = []
-    for i, t in enumerate(texts):
-        own = regions(t) if isinstance(t, str) and t else []
-        regs.append(own)
-        if not own:
-            continue
-        x = encode(t)
-        for a, b in own:
-            for s, e in windows(a, b):
-                plan.append((i, a, s, e))
-                keys.append(x[s:e].tobytes())
-    distinct = {k: None for k in keys}
+    plan: list[list[tuple[int, int, bytes]]] = []  # by text: window start, window end, content
+    for t in texts:
+        x = encode(t) if isinstance(t, str) else ()
+        plan.append([(s, e, x[s:e].tobytes()) for s, e in windows(0, len(x))] if len(x) else [])
+    distinct: dict[bytes, np.ndarray] = {k: None for own in plan for _, _, k in own}
     order = sorted(distinct, key=len)
     for at in range(0, len(order), batch):
         part = order[at : at + batch]
@@ -194,27 +156,22 @@ def decode_all(texts: list[str | None], tagger: Tagger, batch: int = 512) -> lis
         for r, k in enumerate(part):
             x[r, : len(k)] = np.frombuffer(k, np.uint8)
         path = tagger.decode(x)
+        some = path.any(1)
         for r, k in enumerate(part):
-            distinct[k] = path[r, : len(k)]
-    labels: dict[tuple[int, int], np.ndarray] = {}
-    depth: dict[tuple[int, int], np.ndarray] = {}
-    ends = {(i, a): b for i, own in enumerate(regs) for a, b in own}
-    for (i, a, s, e), k in zip(plan, keys):
-        if (i, a) not in labels:
-            n = ends[i, a] - a
-            labels[i, a], depth[i, a] = np.zeros(n, np.uint8), np.full(n, -1)
-        n = e - s
-        mid = np.minimum(np.arange(n), np.arange(n)[::-1])
-        part = slice(s - a, e - a)
-        better = mid > depth[i, a][part]
-        labels[i, a][part][better] = distinct[k][better]
-        depth[i, a][part][better] = mid[better]
+            distinct[k] = path[r, : len(k)] if some[r] else None
     out: list[list[tuple[str, int, int]]] = []
-    for i, own in enumerate(regs):
-        got: list[tuple[str, int, int]] = []
-        for a, _ in own:
-            got += spans_of(labels[i, a], a)
-        out.append(reconcile(texts[i], got) if got else [])
+    for t, own in zip(texts, plan):
+        if all(distinct[k] is None for _, _, k in own):
+            out.append([])
+            continue
+        labels, depth = np.zeros(len(t), np.uint8), np.full(len(t), -1)
+        for s, e, k in own:
+            n = e - s
+            mid = np.minimum(np.arange(n), np.arange(n)[::-1])
+            better = mid > depth[s:e]
+            labels[s:e][better] = 0 if distinct[k] is None else distinct[k][better]
+            depth[s:e][better] = mid[better]
+        out.append(reconcile(t, spans_of(labels, 0)))
     return out
 
 
@@ -231,7 +188,18 @@ def spans_of(path: np.ndarray, offset: int) -> list[tuple[str, int, int]]:
     return out
 
 
-GAP = {"address": re.compile(r"[\s,]{0,3}(?:Apt|Unit|Suite)?[\s,.]{0,3}$"), "name": re.compile(r"[ ,.]{0,2}$"), "phone": re.compile(r"[ ().-]{0,2}$"), "idnum": re.compile(r"[ .-]{0,1}$"), "email": re.compile(r" ?$")}
+GAP = {"address": re.compile(r"[\s,]{0,3}(?:Apt|Unit|Suite)?[\s,.]{0,3}$"), "name": re.compile(r"[ \xa0,.]{0,2}$"), "phone": re.compile(r"[ \xa0().-]{0,2}$"), "idnum": re.compile(r"[ \xa0.-]{0,1}$"), "email": re.compile(r" ?$")}
+#: Capitalised words that begin sentences or code and are no names (fixed values).
+STARTERS = frozenset(
+    "the a an in on at of for and or if it is as with by to from we you i my our your this that these those there what when where who why how which since after before both please do nothing set run call each whenever thanks anyone about notes setup using changes trouble usage hey hi hello dear regards project driver step row page menu home error http version commit "
+    "der die das ein eine es wir ich was wie wer man seit nach vor bei dank jeder diese dieser unser unsere hinweise einrichtung änderungen hallo viele in im am auf von zu und oder mit für "
+    "le la les un une des il elle nous vous je ce cette si grâce depuis chaque notre notes dans en sur pour par à au aux et ou "
+    "el los las una lo si se en de del al para por con desde cada hay nuestro nuestra notas hola gracias también esta este no y o "
+    "o os as um uma em no na nos nas de do da para por com desde cada há nossa nosso notas olá graças também este esta não e "
+    "il lo gli i uno in nel nella su per con da di del dalla dal ogni ci nostro note grazie questa questo non e "
+    "select from where join create table primary key not null default update insert delete into values and or order group by count as bigint text int varchar limit desc asc in is set".split()
+)
+CJK = re.compile(r"[\u3040-\u9fff]")
 NAME_WORD = re.compile(r"[A-ZÀ-ÖØ-Þ][\w'’-]+")
 
 
@@ -245,7 +213,9 @@ def possible(kind: str, s: str) -> bool:
     if kind == "idnum":
         return 6 <= digits <= 13
     if kind == "address":
-        return digits >= 1 and sum(map(str.isalpha, s)) >= 4
+        # the model knows no letters of Chinese and Japanese, so what it takes for an address there is chance
+        words = [w for w in re.findall(r"[^\W\d_]+", s) if w.lower() not in STARTERS]
+        return digits >= 1 and sum(map(len, words)) >= 4 and not CJK.search(s) and not re.search(r"[+=_(){}\[\]<>]", s) and len(words) > s[0].isdigit()
     words = NAME_WORD.findall(s)
     return len(words) >= 2 and digits == 0
 
@@ -263,19 +233,30 @@ def reconcile(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, i
         least = final[-1][2] if final else 0
         while a > least and text[a - 1 : a].isalnum() and text[a : a + 1].isalnum():
             a -= 1
-        while a < b and text[a] in " \n\t,;:=|\"'<>":
+        while a < b and text[a] in " \xa0\n\t,;:=|\"'<>":
             a += 1
         if kind in ("phone", "idnum"):
             while a > least and text[a - 1] in "+(" and text[a : a + 1] not in " )":
                 if kind == "idnum" and text[a - 1] == "(":
                     break
                 a -= 1
+        elif kind == "address" and (m := re.search(r"(?<![\w.-])\d{1,5}[a-z]? $", text[least:a])):
+            a = least + m.start()
+        elif kind == "name":  # a sentence's or greeting's first word beside a name isn't part of it
+            while m := re.match(r"([^\W\d_]+)\b[\s,.:]*", text[a:b]):
+                if m[1].lower() not in STARTERS:
+                    break
+                a += m.end()
+            while m := re.search(r"[\s,.:]+([^\W\d_]+)$", text[a:b]):
+                if m[1].lower() not in STARTERS:
+                    break
+                b = a + m.start()
         elif kind == "email":
             while a > least and re.match(r"[\w.+%-]", text[a - 1]):
                 a -= 1
         while b < len(text) and text[b - 1 : b].isalnum() and text[b].isalnum():
             b += 1
-        while b > a and text[b - 1] in " \n\t,;:":
+        while b > a and text[b - 1] in " \xa0\n\t,;:":
             b -= 1
         if b > a and possible(kind, text[a:b]):
             final.append((kind, a, b))

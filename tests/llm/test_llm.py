@@ -113,6 +113,23 @@ def test_pii_spans_and_redaction(spark):
     assert "[NAME]" in out[1].redacted and "zorti@4.11.3" in out[1].redacted and out[2].redacted is None and out[3].redacted == ""
 
 
+def test_pii_is_decoded_over_the_whole_text():
+    texts = ["Salma\u00a0Vellmere\u00a0wrote\u00a0on Monday:\n\n> It works.", "We moved the lock manager to a plain file. " * 6 + "id card 412093, issued to the owner"]
+    x = [np.frombuffer(pii.encode(t)[a:b].tobytes(), np.uint8) for t in texts for a, b in pii.windows(0, len(t))]
+    seen = []
+    tagger = pii.Tagger({k: v for k, v in pii.tagger().w.items()})
+    whole = tagger.decode
+    tagger.decode = lambda w: (seen.append(w), whole(w))[1]
+    got = pii.decode_all(texts, tagger)
+    assert ("name", 0, len("Salma Vellmere")) in got[0]
+    assert sum(len(w) for w in seen) == len({w.tobytes() for w in x})
+    # leaving windows without labels out of the Viterbi pass changes nothing
+    w = np.stack([v for v in x if len(v) == pii.WIDTH])
+    f, b = tagger.states(w.T, "f"), tagger.states(w.T[::-1], "b")[::-1]
+    emit = f @ tagger.w["vf"] + b @ tagger.w["vb"] + tagger.w["c"]
+    assert (whole(w) == tagger.viterbi(emit)).all()
+
+
 def test_pairs_frame(spark):
     chat = spark.read.parquet(f"{SF}/coding_chat.parquet")
     got = pairs.label(chat, spark.read.parquet(f"{SF}/common_words.parquet")).toPandas()
