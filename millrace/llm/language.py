@@ -359,7 +359,7 @@ def label_texts(texts: list[str | None], m: Model, p: Params = Params()) -> list
     sums = m.sums(parts)
     sizes = np.maximum(sums[:, -1:], 1.0)
     z_all = sums[:, :-1] / sizes + m.bias
-    latin = np.array([not w or w[0].isascii() and "".join(w[:40]).isascii() or not CJK.search("".join(w)) for w in parts], bool)
+    latin = np.array([(t := "".join(w)).isascii() or not CJK.search(t) for w in parts], bool)
     z_all[np.ix_(latin, [LANGS.index("zh"), LANGS.index("ja")])] = -30.0  # no letter of theirs
     natural = m.prob(z_all[:, :N_NATURAL])
     best = natural.argmax(1)

@@ -53,6 +53,14 @@ def test_language_labels_and_mixed(spark):
     assert got[6][0] == "python"
 
 
+def test_language_of_a_paragraph_that_begins_with_ascii_words(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = language.fit(docs, spark.read.parquet(f"{SF}/common_words.parquet"))
+    zh = "我们的团队已经把测试环境迁移到新的服务器。" * 12
+    got = language.label_texts(["ERROR worker 17 restarted " * 11 + zh], m)
+    assert got[0][0] == "zh"
+
+
 def test_stats_kinds():
     assert stats.shares("- a\n- b\n- c\n- d")[0] == 1.0
     assert stats.shares("a;b;c\n1;2;3\n4;5;6\n7;8;9")[1] == 1.0
