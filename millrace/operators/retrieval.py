@@ -44,13 +44,15 @@ def knn(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10,
                     s = -np.sqrt(np.maximum((a**2).sum(1)[:, None] + (c**2).sum(1)[None] - 2 * a @ c.T, 0))
                 for i, x in enumerate(qk):
                     own = np.where(rk == x, -np.inf, s[i])
-                    at = np.argsort(-own, kind="stable")[: k + 8] if len(own) > k else np.arange(len(own))
-                    out += [(x, rk[j], float(own[j])) for j in at if np.isfinite(own[j])]
-            yield pd.DataFrame(out, columns=["query", "neighbour", "score"])
-
-    got = met.mapInPandas(best, f"query {kind}, neighbour {kind}, score double")
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "neighbour")
-    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                    near = np.round(own, 9)
+                    at = np.lexsort((rk, -near))[:k]
+                    out += [(x, rk[j], float(own[j]), float(near[j])) for j in at if np.isfinite(own[j])]
+            yield pd.DataFrame(out, columns=["query", "neighbour", "score", "near"])
+
+    # blocks cut and blocks meet by the same order: rounded score, then the neighbour's key
+    got = met.mapInPandas(best, f"query {kind}, neighbour {kind}, score double, near double")
+    w = Window.partitionBy("query").orderBy(F.desc("near"), "neighbour")
+    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("near")
 
 
 def hash_embedding(c: Column, dims: int = 384) -> Column:

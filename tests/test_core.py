@@ -110,6 +110,12 @@ def test_knn_against_brute_force(spark, metric):
         assert [r.neighbour for r in sorted(got, key=lambda r: r.rank) if r.query == q] == want
 
 
+def test_knn_ties_go_to_the_least_keys(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in reversed(range(60))], "id long, e array<double>")
+    got = R.knn(df.repartition(4), df.where("id = 40"), "id", "e", 5, block=64).collect()
+    assert [r.neighbour for r in sorted(got, key=lambda r: r.rank)] == [0, 1, 2, 3, 4]
+
+
 def test_packing_keeps_every_sequence(spark):
     df = spark.createDataFrame([(i, (i * 37) % 90) for i in range(200)] + [(999, 700)], "id long, n long")
     got = pack_first_fit(df, "id", "n", 128).toPandas()
