@@ -158,15 +158,12 @@ class Trie:
         n = len(letters)
         found = []
         start = list(range(n + 1))
-        # an edit never changes a term's first letter, so only that branch is walked
         stack = [(0, start, None, "")]
         while stack:
             at, row, before, last = stack.pop()
             if self.ends[at] and row[n] <= most:
                 found.append((row[n], self.terms[at], self.ends[at]))
             for c, to in self.next[at].items():
-                if at == 0 and letters[0] is not None and c not in letters[0]:
-                    continue
                 new = [row[0] + 1]
                 least = new[0]
                 for i in range(1, n + 1):
@@ -184,9 +181,9 @@ class Trie:
 
 
 @lru_cache(1)
-def lexicon() -> tuple[Trie, dict[str, list[tuple[re.Pattern, str]]], list[tuple[str, str]], frozenset[str]]:
-    """The trie of single words, phrases by their rarest-looking word, terms written without spaces, and all single words."""
-    trie, phrases, unspaced, words = Trie(), {}, [], set()
+def lexicon() -> tuple[Trie, dict[str, list[tuple[re.Pattern, str]]], frozenset[str]]:
+    """The trie of single words, of the words of phrases (kind part) and of terms written without spaces; phrases by their longest word; all single words."""
+    trie, phrases, words = Trie(), {}, set()
     for kind, lines in LEXICON.items():
         for line in lines.strip().split("\n"):
             if line.startswith(":"):
@@ -194,16 +191,16 @@ def lexicon() -> tuple[Trie, dict[str, list[tuple[re.Pattern, str]]], list[tuple
                     body = re.escape(phrase).replace(r"\*", r"[\w\s'-]{1,40}?").replace(r"\ ", r"\s+(?:\w+\s+)??")
                     key = max(re.findall(r"\w+", phrase), key=len)
                     phrases.setdefault(key, []).append((re.compile(rf"\b{body}\b"), kind))
-                    for w in re.findall(r"[a-z]{3,}", phrase):
+                    for w in re.findall(r"\w+", phrase):
                         trie.add(w, "part")
                 continue
             for term in plain(line).split():
                 if CJK.search(term):
-                    unspaced.append((term, kind))
+                    trie.add(term, f"unspaced {kind}")
                 else:
                     trie.add(term.rstrip("*"), kind)
                     words.add(term.rstrip("*"))
-    return trie, phrases, unspaced, frozenset(words)
+    return trie, phrases, frozenset(words)
 
 
 #: Ordinary words one edit from a term; they are never misspellings (fixed values).
@@ -226,16 +223,28 @@ def readings(token: str) -> list[frozenset[str] | None]:
     return out
 
 
+def reach(token: str) -> int:
+    """Edits that a plain token may be away from its term."""
+    n = len(token)
+    return 0 if n < 4 else 1 if n < 11 else 2
+
+
 @lru_cache(200_000)
 def look_up(token: str) -> tuple[tuple[str, int, str], ...]:
-    """Kinds of evidence of a plain token: (kind, edits, term)."""
-    trie, _, _, words = lexicon()
+    """Kinds of evidence of a plain token by the automaton: (kind, edits, term), the words of phrases (part) among them.
+
+    A term of up to five letters, or one whose first letter was changed, counts as an edited one only (edits 2 or more):
+    its sentence must bear it out (``score_sentence``).
+    """
+    trie, _, words = lexicon()
     if token in words:
-        return tuple((k, 0, token) for d, t, ks in trie.within([frozenset(c) for c in token], 0) for k in ks if k != "part")
+        return tuple((k, 0, token) for d, t, ks in trie.within([frozenset(c) for c in token], 0) for k in ks)
     stars = token.count("*")
     letters = sum(c.isalpha() for c in token)
-    if len(token) < 3 or letters < 1 or token in ORDINARY or "_" in token or (token.isalpha() and len(token) > 24):
+    if letters < 1 or "_" in token or (token.isalpha() and len(token) > 24):
         return ()
+    if len(token) < 3 or token in ORDINARY:
+        return tuple((k, 0, token) for d, t, ks in trie.within([frozenset(c) for c in token], 0) for k in ks if k == "part")
     forms = {token}
     if DRAWN.search(token):
         forms |= {DRAWN.sub(r"\1", token), DRAWN.sub(r"\1\1", token)}
@@ -244,15 +253,15 @@ def look_up(token: str) -> tuple[tuple[str, int, str], ...]:
         coded = stars or any(c.isdigit() or c in "@$!|€+£" for c in form)
         if coded and (letters < 1 or sum(c.isdigit() for c in form) > 0.8 * len(form) and not stars):
             continue
-        n = len(form)
-        most = 0 if coded or n < 6 or form != token else 1 if n < 11 else 2
-        for d, term, kinds in trie.within(readings(form), most):
-            if stars and len(term) != n or d and (term[0] != form[0] or len(term) < 6 ):
+        for d, term, kinds in trie.within(readings(form), 0 if coded else reach(form)):
+            if stars and len(term) != len(form) or d and len(term) < 4:
                 continue
+            if d and (len(term) < 6 or term[0] != form[0] or form != token):
+                d += 1  # a likely chance resemblance
             for k in kinds:
-                if (k == "part" and d) or (k == "part" and form == token and not coded):
+                if k == "part" and d and (len(term) < 6 or d > 1):
                     continue
-                if k not in best or d < best[k][0]:
+                if k not in best or (d, term) < best[k]:
                     best[k] = (d, term)
     return tuple((k, d, t) for k, (d, t) in best.items())
 
@@ -265,7 +274,7 @@ def _spelled(m: re.Match) -> str:
 @lru_cache(20_000)
 def split_joined(joined: str) -> tuple[str, ...]:
     """Spelled-out letters run together ("uselessmoron") cut into lexicon words where that uses up all letters."""
-    _, _, _, words = lexicon()
+    _, _, words = lexicon()
     best: list[tuple[int, tuple[str, ...]]] = [(0, ())] + [(1 << 20, ())] * len(joined)
     for i in range(1, len(joined) + 1):
         for j in range(max(0, i - 16), i):
@@ -287,17 +296,38 @@ class Score:
 NAMED_GROUP = re.compile(r"\bThe [A-Z]\w{3,} (?:are|should|must|need|have|do|deserve|belong|breed|poison|ought)\b|\b(?i:all|every last|those|these|no|any|most) (?:[A-Z]\w+|hill|river|desert|mountain)(?: (?:people|folk|women|men|families|migrants|faith|speakers|tribe|children|believers|workers))?\b|\b(?:people|folk|foreigners|families|migrants|those|ones|women|men) (?:of|from) [A-Z]\w+|\b[A-Z]\w+(?:ish|an|ese|ic|i|ite|ites|er|ers|ani|ari|rian)s? (?:people|folk|women|men|families|migrants|faith|speakers|believers|workers)\b")
 
 
-def score_sentence(raw: str, context: str) -> Score:
-    """Evidence of one sentence, weighed by its own window and the wider context."""
+#: Marks of a neighbouring sentence that speaks of the sentence beside it as of another one's words (fixed values).
+ABOUT_WORDS = re.compile(r"\b(?:quot(?:e|ed|es|ing|ation)|cited?|(?:was|were|been|got) (?:removed|deleted|flagged|reported|banned|filtered)|such (?:messages?|posts?|words?|comments?)|that (?:message|post|comment|sentence|phrase|line) (?:was|is|came)|zitat\w*|zitiert|citation|citazione|citado|cita)\b", re.I)
+
+
+def unspaced_terms(low: str) -> list[tuple[str, str]]:
+    """Terms of languages without spaces that stand in a text, by a walk of the trie from each of their letters."""
+    trie, _, _ = lexicon()
+    out = []
+    for m in CJK.finditer(low):
+        at = 0
+        for c in low[m.start() :]:
+            at = trie.next[at].get(c, -1)
+            if at < 0:
+                break
+            out += [(trie.terms[at], k[9:]) for k in trie.ends[at] if k.startswith("unspaced ")]
+    return out
+
+
+def score_sentence(raw: str, around: str = "", ordinary: frozenset[str] = frozenset()) -> Score:
+    """Evidence of one sentence, weighed by its own window and by the sentences ``around`` it.
+
+    Each token is put through the automaton first; phrases are looked up by, and matched on, the terms it gives.
+    """
     s = Score()
     low = plain(IDENTIFIER.sub(" ", raw))
     if SPELLED.search(low):
         low = SPELLED.sub(_spelled, low)
-    _, phrases, unspaced, _ = lexicon()
+    _, phrases, _ = lexicon()
     tally = {"insult": 0.0, "slight": 0.0, "threat": 0.0, "dismiss": 0.0, "degrade": 0.0, "group": 0.0, "explicit": 0.0, "erotic": 0.0}
-    fixed = []
+    fixed, found = [], set()
+    doubtful: list[tuple[str, str]] = []
     coded = 0
-    low_words = re.findall(r"\w+", low)
     for m in TOKEN.finditer(low):
         t = m[0].strip("'’-!|+")
         if not t:
@@ -305,29 +335,40 @@ def score_sentence(raw: str, context: str) -> Score:
         got = look_up(t)
         if not got and ("-" in t or "'" in t):
             got = tuple(x for part in re.split("[-'’]", t) for x in look_up(part))
-        fixed.append(next((term for _, _, term in got), t))
-        coded += bool(got) and not t.isalpha()
+        if t in ordinary:
+            got = tuple(x for x in got if x[1] == 0)
+        sure = [x for x in got if x[1] < 2]
+        fixed.append(min(sure, key=lambda x: (x[1], x[0] == "part", x[2]))[2] if sure else t)
+        coded += not t.isalpha() and any(k != "part" for k, _, _ in sure)
         for kind, d, term in got:
-            if kind == "part":
+            if d < 2:
+                found.add(term)
+            if kind == "part" or kind.startswith("unspaced"):
+                continue
+            if d > 1:
+                doubtful.append((kind, term))
                 continue
-            tally[kind] += 1.0 if d == 0 else 0.8
+            tally[kind] += 1.0 if d == 0 else 0.85
             s.hits.append(term)
     undone = " ".join(fixed)
-    for w in {*fixed, *low_words}:
+    for w in found:
         for rx, kind in phrases.get(w, ()):
             if rx.search(undone) or rx.search(low):
                 tally[kind] += 1.5
                 s.hits.append(w)
     if not low.isascii() and CJK.search(low):
-        for term, kind in unspaced:
-            if term in low:
-                tally[kind] += 1.5
-                s.hits.append(term)
+        for term, kind in unspaced_terms(low):
+            tally[kind] += 1.5
+            s.hits.append(term)
+    if doubtful and (s.hits or STRONG_YOU.search(low)):
+        for kind, term in doubtful:
+            tally[kind] += 0.85
+            s.hits.append(term)
     if not s.hits:
         return s
     you = bool(STRONG_YOU.search(low)) or bool(YOU.search(low)) and tally["insult"] > 0
     weight = 1.0
-    if MODERATION.search(context):
+    if MODERATION.search(raw) or around and ABOUT_WORDS.search(around):
         weight *= 0.3
     if QUOTED.search(raw):
         inside = " ".join(m[0] for m in QUOTED.finditer(raw))
@@ -362,15 +403,15 @@ def score_sentence(raw: str, context: str) -> Score:
 THRESHOLD = 0.5
 
 
-def score_text(text: str | None) -> tuple[bool, float, float, float, float, int, str]:
-    """toxic, overall, abuse, hate, sexual, number of hits, kind."""
+def score_text(text: str | None, ordinary: frozenset[str] = frozenset()) -> tuple[bool, float, float, float, float, int, str]:
+    """toxic, overall, abuse, hate, sexual, number of hits, kind. ``ordinary`` tokens are no misspellings."""
     if not isinstance(text, str) or not text or text.isspace():
         return False, 0.0, 0.0, 0.0, 0.0, 0, ""
     abuse = hate = sexual = 0.0
     hits = 0
     parts = [p for p in SENTENCE.split(text) if p and not p.isspace()]
     for i, p in enumerate(parts):
-        s = score_sentence(p, p)
+        s = score_sentence(p, " ".join(parts[max(0, i - 1) : i] + parts[i + 1 : i + 2]), ordinary)
         if s.hits:
             hits += len(s.hits)
             abuse, hate, sexual = max(abuse, s.abuse), max(hate, s.hate), max(sexual, s.sexual)
@@ -384,14 +425,33 @@ FIELDS = "is_toxic boolean, toxic_score double, abuse_score double, hate_score d
 NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 
 
-def score(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def ordinary_tokens(df: DataFrame, text: str = "text", rarer: int = 10) -> frozenset[str]:
+    """Tokens near a term that are words of their own: not at least ``rarer`` times rarer than the term, in different texts.
+
+    Counted over all texts, with sketches of distinct texts that are combined before the shuffle, so copies count once.
+    Only tokens within the automaton's reach of a term come back, which the lexicon bounds.
+    """
+    words = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("\\p{L}{4,24}"), F.lit(0)))).alias("w"))
+    counts = words.groupBy("w").agg(F.approx_count_distinct("h", 0.05).alias("n"))
+
+    def near(b: pd.DataFrame) -> pd.DataFrame:
+        rows = [(p, term, n, d) for w, n in zip(b["w"], b["n"]) for p in [plain(w)] for k, d, term in look_up(p) if k != "part"]
+        return pd.DataFrame(rows, columns=["w", "term", "n", "d"])
+
+    got = rows_by_batch(counts, near, "w string, term string, n long, d int").groupBy("w", "term").agg(F.sum("n").alias("n"), F.min("d").alias("d")).collect()
+    exact = {r.term: r.n for r in got if r.w == r.term}
+    return frozenset(r.w for r in got if r.d and r.n > 1 and r.n * rarer >= exact.get(r.term, 0))
+
+
+def score(df: DataFrame, text: str = "text", keep: list[str] | None = None, ordinary: frozenset[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default) with the scores of ``text``."""
+    ordinary = ordinary_tokens(df, text) if ordinary is None else ordinary
     names = [c for c in (keep if keep is not None else df.columns) if c not in NAMES]
     cols = names if text in names else [*names, text]
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*(F.col(f"`{c}`") for c in names)).schema)
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        r = [score_text(t) for t in b[text]]
+        r = [score_text(t, ordinary) for t in b[text]]
         out = b[names].copy()
         for k, c in enumerate(NAMES):
             out[c] = [x[k] for x in r]
