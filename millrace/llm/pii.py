@@ -1,10 +1,14 @@
 """Personal information in free text (problem 5).
 
-A character-level bidirectional LSTM with a CRF on top, in numpy.  The whole text is
-cut into overlapping windows; equal windows are decoded once, windows are decoded in batches by Viterbi, their labels are stitched
-where windows overlap (each character keeps the label of the window in whose middle it
-lies most), and spans are read off the stitched labels of the whole text.  A last
-exact check drops spans that can't be of their kind and moves starts to word starts.
+A character-level bidirectional LSTM with a CRF on top, in numpy.  The stretches of a text in
+which a span may lie at all are cut into overlapping windows; equal windows are decoded once,
+windows are decoded in batches by Viterbi, their labels are stitched where windows overlap (each
+character keeps the label of the window in whose middle it lies most), and spans are read off
+the stitched labels.  A last exact check (``possible``) drops spans that can't be of their kind
+and moves starts to word starts.
+
+``regions`` leaves out only what that check would refuse whatever the labels: a span needs a
+digit, an at sign (or the word at before a dot), or two capitalised words that begin no sentence.
 
 The weights beside this module were trained by ``millrace.llm.pii_train``.
 
@@ -31,7 +35,8 @@ from millrace.runtime import spread
 KINDS = ["email", "phone", "idnum", "address", "name"]
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in ("B", "I")]
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
-WIDTH, STRIDE = 112, 64
+WIDTH, STRIDE = 144, 104
+MARGIN, APART = 32, 48  # characters decoded around each sign of a span; the most between two words of a name
 
 
 @lru_cache(1)
@@ -58,12 +63,35 @@ N_CODES = 101
 PAD = 96
 
 
+UNIT, SPAN_ = 512, 32  # steps of the activation tables per unit, and units on each side
+
+
+@lru_cache(1)
+def activations() -> tuple[np.ndarray, np.ndarray]:
+    """Sigmoid (of doubled arguments) followed by tanh, and tanh alone, by step: lookups take a fraction of the time of np.tanh."""
+    x = (np.arange(2 * SPAN_ * UNIT) - SPAN_ * UNIT) / UNIT
+    tanh = np.tanh(x)
+    return np.concatenate([0.5 + 0.5 * tanh, tanh]).astype(np.float32), tanh.astype(np.float32)
+
+
 class Tagger:
     """Weights: for each direction, input table (N_CODES x 4H, embeddings folded in), recurrent matrix and bias; then the CRF."""
 
     def __init__(self, w: dict[str, np.ndarray]):
         self.w = {k: np.ascontiguousarray(v, np.float32) for k, v in w.items()}
-        self.h = self.w["uf"].shape[0]
+        self.h = h = self.w["uf"].shape[0]
+        self.steps = {}
+        for d in "fb":  # scaled so that sums are steps of the tables; gates i, f, o are held at half scale
+            t, u = self.w["t" + d], self.w["u" + d]
+            if (np.abs(t).max(0) + np.abs(u).sum(0)).max() >= SPAN_:
+                raise ValueError("weights reach beyond the activation tables")
+            shift = SPAN_ * UNIT + 0.5 + np.r_[np.zeros(3 * h), np.full(h, 2 * SPAN_ * UNIT)]
+            self.steps[d] = (t * UNIT + shift).astype(np.float32), (u * UNIT).astype(np.float32)
+        a, s = self.w["a"], self.w["s"]
+        into = np.maximum(a.max(0), (s - s[0] + a[0, 0])) - a[0, 0]
+        out = np.maximum(a[:, 0] - a[0, 0], 0)
+        self.lead = tuple(np.ascontiguousarray(self.w[k][:, 1:] - self.w[k][:, :1]) for k in ("vf", "vb"))
+        self.charge = (self.w["c"][1:] - self.w["c"][0] + (into + out)[1:]).astype(np.float32)
 
     @classmethod
     def load(cls, path: str = WEIGHTS) -> Tagger:
@@ -72,66 +100,99 @@ class Tagger:
 
     def states(self, x: np.ndarray, d: str) -> np.ndarray:
         """Hidden states of one direction, T x B x H; x is T x B, already in that direction's order."""
-        table_, u, h = self.w["t" + d], self.w["u" + d], self.h
+        (table_, u), h = self.steps[d], self.h
+        both, tanh = activations()
         n = x.shape[1]
         hid, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
         out = np.empty((len(x), n, h), np.float32)
-        half = np.float32(0.5)
+        z, at = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.intp)
+        c, ct = np.empty((n, h), np.float32), np.empty((n, h), np.intp)
+        middle = np.float32(SPAN_ * UNIT + 0.5)
         for t in range(len(x)):
-            z = table_[x[t]]
-            z += hid @ u  # gates i, f, o are held at half scale, so that one tanh serves all
-            np.tanh(z, out=z)
-            g = z[:, 3 * h :]
-            s = z[:, : 3 * h]
-            s *= half
-            s += half
-            cell *= s[:, h : 2 * h]
-            cell += s[:, :h] * g
-            hid = np.tanh(cell)
-            hid *= s[:, 2 * h :]
-            out[t] = hid
+            np.matmul(hid, u, out=z)
+            z += table_[x[t]]
+            np.copyto(at, z, casting="unsafe")
+            np.take(both, at, out=z, mode="clip")
+            cell *= z[:, h : 2 * h]
+            cell += z[:, :h] * z[:, 3 * h :]
+            np.multiply(cell, np.float32(UNIT), out=c)
+            c += middle
+            np.copyto(ct, c, casting="unsafe")
+            hid = out[t]
+            np.take(tanh, ct, out=hid, mode="clip")
+            hid *= z[:, 2 * h : 3 * h]
         return out
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Best label paths (Viterbi) of windows x (B x T)."""
-        xt = x.T
-        f = self.states(xt, "f")
-        b = self.states(xt[::-1], "b")[::-1]
-        emit = f @ self.w["vf"] + b @ self.w["vb"] + self.w["c"]
+        lead = self.leads(x)
         path = np.zeros(x.shape, np.uint8)
-        open_ = np.flatnonzero(self.gain(emit) > 0)
+        open_ = np.flatnonzero(self.gain(lead) > 0)
         if len(open_):
-            path[open_] = self.viterbi(emit[:, open_])
+            path[open_] = self.viterbi(lead[:, open_])
         return path
 
-    def gain(self, emit: np.ndarray) -> np.ndarray:
+    def leads(self, x: np.ndarray) -> np.ndarray:
+        """T x B x (L - 1): how far each label's emission lies above that of no label."""
+        xt = np.ascontiguousarray(x.T)
+        f, b = self.states(xt, "f"), self.states(xt[::-1], "b")
+        t, n, h = f.shape
+        lead = (f.reshape(-1, h) @ self.lead[0]).reshape(t, n, -1)
+        lead += (b.reshape(-1, h) @ self.lead[1]).reshape(t, n, -1)[::-1]
+        return lead
+
+    def gain(self, lead: np.ndarray) -> np.ndarray:
         """For each window a bound on what any labels gain over none at all: where it isn't positive, no label is best.
 
         Each labelled character is charged with the best transition into its label and out of it to none.
         """
-        a, s = self.w["a"], self.w["s"]
-        into = np.maximum(a.max(0), (s - s[0] + a[0, 0])) - a[0, 0]
-        out = np.maximum(a[:, 0] - a[0, 0], 0)
-        return (emit[:, :, 1:] - emit[:, :, :1] + (into + out)[1:]).max((0, 2))
-
-    def viterbi(self, emit: np.ndarray) -> np.ndarray:
+        t, n, k = lead.shape
+        return (lead.reshape(t, -1).max(0).reshape(n, k) + self.charge).max(1)
+
+    def viterbi(self, lead: np.ndarray) -> np.ndarray:
+        """Best paths for ``leads``; labels come first in the arrays, so that all steps run along the windows."""
+        t, n, k = lead.shape
+        e = np.zeros((t, k + 1, n), np.float32)
+        e[:, 1:] = lead.transpose(0, 2, 1)
+        e[:, 1:] += (self.w["c"][1:] - self.w["c"][0])[:, None]
         a = self.w["a"]
-        score = emit[0] + self.w["s"]
-        back = np.empty((len(emit), *score.shape), np.uint8)
-        for t in range(1, len(emit)):
-            m = score[:, :, None] + a
-            back[t] = m.argmax(1)
-            score = m.max(1) + emit[t]
-        path = np.empty((emit.shape[1], len(emit)), np.uint8)
-        at = score.argmax(1)
-        rows = np.arange(len(path))
-        for t in range(len(emit) - 1, -1, -1):
-            path[:, t] = at
-            if t:
-                at = back[t][rows, at]
+        best = np.empty_like(e)
+        best[0] = e[0] + self.w["s"][:, None]
+        for t in range(1, len(e)):
+            np.max(best[t - 1][:, None] + a[:, :, None], axis=0, out=best[t])
+            best[t] += e[t]
+        path = np.empty((n, len(e)), np.uint8)
+        at = best[-1].argmax(0)
+        path[:, -1] = at
+        for t in range(len(e) - 1, 0, -1):
+            at = (best[t - 1] + a[:, at]).argmax(0)
+            path[:, t - 1] = at
         return path
 
 
+SIGN = re.compile(r"\d(?:[\w.,:/()+-]*\d)?|@|\b[aA][tT]\b")
+
+
+def regions(text: str) -> list[tuple[int, int]]:
+    """The stretches outside of which ``possible`` accepts no span: MARGIN characters around each sign of one."""
+    at = [m.span() for m in SIGN.finditer(text)]
+    last = None
+    for m in NAME_WORD.finditer(text):
+        if m[0].lower() in STARTERS:
+            continue
+        if last is not None and m.start() - last[1] <= APART:
+            at.append((last[0], m.end()))
+        last = m.span()
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(at):
+        a, b = max(0, a - MARGIN), min(len(text), b + MARGIN)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def windows(a: int, b: int) -> list[tuple[int, int]]:
     """Overlapping windows that cover the text from a to b."""
     if b - a <= WIDTH:
@@ -146,7 +207,7 @@ def decode_all(texts: list[str | None], tagger: Tagger, batch: int = 512) -> lis
     plan: list[list[tuple[int, int, bytes]]] = []  # by text: window start, window end, content
     for t in texts:
         x = encode(t) if isinstance(t, str) else ()
-        plan.append([(s, e, x[s:e].tobytes()) for s, e in windows(0, len(x))] if len(x) else [])
+        plan.append([(s, e, x[s:e].tobytes()) for a, b in regions(t) for s, e in windows(a, b)] if len(x) else [])
     distinct: dict[bytes, np.ndarray] = {k: None for own in plan for _, _, k in own}
     order = sorted(distinct, key=len)
     for at in range(0, len(order), batch):

@@ -19,7 +19,7 @@ def test_toxicity_spellings_and_contexts():
 
 
 def test_levenshtein_walk_against_brute_force():
-    trie, _, _, words = toxicity.lexicon()
+    trie, _, words = toxicity.lexicon()
 
     def dist(a, b):
         d = np.arange(len(b) + 1)
@@ -121,21 +121,35 @@ def test_pii_spans_and_redaction(spark):
     assert "[NAME]" in out[1].redacted and "zorti@4.11.3" in out[1].redacted and out[2].redacted is None and out[3].redacted == ""
 
 
-def test_pii_is_decoded_over_the_whole_text():
+def test_pii_is_decoded_wherever_a_span_may_be():
     texts = ["Salma\u00a0Vellmere\u00a0wrote\u00a0on Monday:\n\n> It works.", "We moved the lock manager to a plain file. " * 6 + "id card 412093, issued to the owner"]
-    x = [np.frombuffer(pii.encode(t)[a:b].tobytes(), np.uint8) for t in texts for a, b in pii.windows(0, len(t))]
-    seen = []
-    tagger = pii.Tagger({k: v for k, v in pii.tagger().w.items()})
-    whole = tagger.decode
-    tagger.decode = lambda w: (seen.append(w), whole(w))[1]
-    got = pii.decode_all(texts, tagger)
+    got = pii.decode_all(texts, pii.tagger())
     assert ("name", 0, len("Salma Vellmere")) in got[0]
-    assert sum(len(w) for w in seen) == len({w.tobytes() for w in x})
-    # leaving windows without labels out of the Viterbi pass changes nothing
-    w = np.stack([v for v in x if len(v) == pii.WIDTH])
-    f, b = tagger.states(w.T, "f"), tagger.states(w.T[::-1], "b")[::-1]
-    emit = f @ tagger.w["vf"] + b @ tagger.w["vb"] + tagger.w["c"]
-    assert (whole(w) == tagger.viterbi(emit)).all()
+    rng = np.random.default_rng(5)
+    words = ["the", "Greta", "Lindham", "at", "12", "rue", "x.y", "a@b.org", "Nothing", "file", "\n\n", "415-555-0141"]
+    for _ in range(300):  # what the exact check could accept lies inside of a region
+        t = " ".join(rng.choice(words, 30))
+        inside = np.zeros(len(t), bool)
+        for a, b in pii.regions(t):
+            inside[a:b] = True
+        a = int(rng.integers(0, len(t) - 5))
+        b = min(len(t), a + int(rng.integers(5, 40)))
+        for kind in pii.KINDS:
+            if pii.possible(kind, t[a:b]) and pii.reconcile(t, [(kind, a, b)]):
+                assert inside[a:b].any(), (kind, t[a:b])
+    # leaving windows without labels out of the Viterbi pass changes nothing, and tables stand for tanh
+    tagger = pii.tagger()
+    w = np.stack([pii.encode((t * 9)[: pii.WIDTH]).astype(np.uint8) for t in texts])
+    lead = tagger.leads(w)
+    assert (tagger.decode(w) == tagger.viterbi(lead)).all()
+    h, x = tagger.h, w.T
+    hid = cell = np.zeros((len(w), h))
+    for t in range(len(x)):
+        z = tagger.w["tf"][x[t]] + hid @ tagger.w["uf"]
+        i, f, o, g = (0.5 + 0.5 * np.tanh(z[:, k * h : (k + 1) * h]) if k < 3 else np.tanh(z[:, 3 * h :]) for k in range(4))
+        cell = f * cell + i * g
+        hid = o * np.tanh(cell)
+    assert np.abs(hid - tagger.states(np.ascontiguousarray(x), "f")[-1]).max() < 0.02
 
 
 def test_pairs_frame(spark):
