@@ -1,11 +1,11 @@
 """Per-document text statistics and what is not prose (problem 3).
 
 Each text gets a vector of statistics.  For each language, a robust mean and
-covariance of prose are found over all texts: starting from medians and median
+covariance of prose are found over all texts: starting from medians and fixed least
 deviations, rounds of concentration keep the texts nearest to the current centre
 and take mean and covariance again (sums of products per language, added up by
 Spark).  A text's squared Mahalanobis distance splits into one contribution per
-statistic; texts beyond the cutoff that are mostly entries, rows or unreadable
+statistic; texts beyond the cutoff, which comes from the distribution of all distances,
 are named by the statistics that contribute most.
 
 Defined results: null, empty and blank texts have n_words 0, null statistics, no
@@ -18,6 +18,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,9 @@ CJK = re.compile(r"[぀-ヿ一-鿿]")
 NAME = re.compile(r"\b\w*_\w+\b|\b[a-z]+[A-Z]\w*|\b[\w.-]+/[\w./-]+|\b[A-Z][a-z]+(?= \d+\.\d)")
 GAP = re.compile(r"\S {2,}(?=\S)|\t")
 END = re.compile(r"[.!?:;…。！？]['\")\]»”]*\s*$")
+STRANGE, LATIN1 = re.compile("[�\x80-\x9f]"), re.compile("[\x80-¿ÃÂâåæçäãèéï]")
+LETTERS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
+CONSONANTS = re.compile("[aeiouyáàâãäéèêëíìîïóòôõöúùûü]")
 VOWELS = set("aeiouyáàâãäéèêëíìîïóòôõöúùûüæœ")
 
 
@@ -112,7 +117,15 @@ def shares(text: str) -> tuple[float, float]:
     return in_list / whole, in_table / whole
 
 
-def language_of(words: list[str], text: str, common: dict[str, frozenset[str]]) -> tuple[str, float]:
+@lru_cache(100_000)
+def unreadable(word: str) -> bool:
+    """A word without vowels, with long runs of consonants, of great length, or of vowels alone."""
+    v = sum(c in VOWELS for c in word)
+    run = max(map(len, CONSONANTS.split(word)))
+    return v == 0 or run >= 5 or len(word) > 28 or v > 0.75 * len(word) and len(word) > 5
+
+
+def language_of(words: dict[str, int], text: str, common: dict[str, frozenset[str]]) -> tuple[str, float]:
     """The language with the most common words, and their share of the words (of the letters for Chinese and Japanese)."""
     cjk = CJK.findall(text)
     if len(cjk) > 0.2 * len(text.replace(" ", "")):
@@ -120,9 +133,10 @@ def language_of(words: list[str], text: str, common: dict[str, frozenset[str]])
         marks = {c for w in common.get(lang, ()) for c in w}
         return lang, min(1.0, 1.6 * sum(c in marks for c in cjk) / len(cjk))
     best, share = "", -1.0
-    n = len(words) or 1
+    n = sum(words.values()) or 1
     for lang in LANGS[:6]:
-        got = sum(w in common.get(lang, ()) for w in words) / n
+        own = common.get(lang, frozenset())
+        got = sum(k for w, k in words.items() if w in own) / n
         if got > share:
             best, share = lang, got
     return best, share
@@ -137,11 +151,12 @@ def measure(text: str, common: dict[str, frozenset[str]]) -> tuple:
     bare = NAME.sub(" ", prose)
     words = WORD.findall(bare.lower())
     n_names = len(NAME.findall(prose))
-    lang, common_ratio = language_of(words, bare, common)
-    tight = re.sub(r"\s+", "", prose)
+    tally = Counter(words)
+    lang, common_ratio = language_of(tally, bare, common)
+    tight = "".join(prose.split())
     n = len(tight) or 1
-    letters = sum(map(str.isalpha, tight))
-    digits = sum(map(str.isdigit, tight))
+    letters = sum(map(len, LETTERS.findall(tight)))
+    digits = sum(map(len, DIGITS.findall(tight)))
     lines = [x for x in prose.split("\n") if x and not x.isspace()]
     size = sum(len(x) for x in lines) or 1
     ended = sum(len(x) for x in lines if END.search(x)) / size
@@ -150,7 +165,7 @@ def measure(text: str, common: dict[str, frozenset[str]]) -> tuple:
     packed = len(zlib.compress(raw, 6)) / max(1, len(raw))
     repeat = max(0.0, 0.35 - packed) if len(raw) > 150 else 0.0
     if len(words) >= 8:
-        top = Counter(words).most_common(1)[0][1] / len(words)
+        top = max(tally.values()) / (len(words) + n_names)
         repeat = max(repeat, top - 0.2)
     pieces = Counter(p.strip() for p in PIECE.split(prose) if len(p.strip()) > 1)
     if pieces:
@@ -158,16 +173,11 @@ def measure(text: str, common: dict[str, frozenset[str]]) -> tuple:
         if times >= 3 and times * len(piece) > 0.6 * sum(k * len(p) for p, k in pieces.items()):
             repeat = max(repeat, 0.5)
     cjk = lang in ("zh", "ja")
-    odd = 0
-    latin = [w for w in words if not CJK.search(w)]
-    for w in latin:
-        if len(w) >= 4:
-            v = sum(c in VOWELS for c in w)
-            run = max((len(x) for x in re.split("[aeiouyáàâãäéèêëíìîïóòôõöúùûü]", w)), default=0)
-            odd += v == 0 or run >= 5 or len(w) > 28 or v > 0.75 * len(w) and len(w) > 5
-    odd_ratio = odd / max(1, len(latin)) if len(latin) >= 5 else 0.0
-    strange = sum(1 for c in tight if c == "�" or "\x80" <= c <= "\x9f")
-    latin1 = sum(1 for c in tight if "\x80" <= c <= "¿" or c in "ÃÂâåæçäãèéï")
+    latin = {w: k for w, k in tally.items() if not CJK.search(w)} if CJK.search(prose) else tally
+    n_latin = sum(latin.values())
+    odd_ratio = sum(k for w, k in latin.items() if len(w) >= 4 and unreadable(w)) / n_latin if n_latin >= 5 else 0.0
+    strange = 0 if tight.isascii() else len(STRANGE.findall(tight))
+    latin1 = 0 if tight.isascii() else len(LATIN1.findall(tight))
     if latin1 > 0.25 * n or strange > 0.03 * n:
         odd_ratio = max(odd_ratio, min(1.0, (latin1 + strange) / n * 2))
         common_ratio *= 0.2
@@ -246,34 +256,58 @@ def prose_centre(stats: DataFrame, rounds: int = 3, cutoff: float = 40.0) -> Cen
     return centre
 
 
-CUTOFF = 16.0
+def cutoff_of(stats: DataFrame, centre: Centre, tail: float = 0.002, core: float = 40.0) -> float:
+    """The squared distance that prose passes with probability ``tail``.
+
+    Distances are standardized by each language's covariance, so all languages share one distribution; their logarithms
+    are nearly normal, and its median and upper quartile, which what isn't prose hardly moves, give the cutoff.
+    """
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for lang, g in b.dropna(subset=["language"]).groupby("language"):
+                if lang in centre:
+                    m, inv = centre[lang]
+                    d = g[STATS].to_numpy(float) - m
+                    q = np.einsum("ij,jk,ik->i", d, inv, d)
+                    out.append(np.log(np.maximum(q[q <= core], 1e-6)))
+            yield pd.DataFrame({"d": np.concatenate(out) if out else np.zeros(0)})
+
+    r = stats.select("language", *STATS).mapInPandas(part, "d double").agg(F.percentile_approx("d", [0.5, 0.75], 10000).alias("q")).first()
+    if not r.q:
+        return core
+    mid, upper = r.q
+    return float(np.exp(mid + NormalDist().inv_cdf(1 - tail) * max(upper - mid, 0.1) / NormalDist().inv_cdf(0.75)))
+
 
+def judge(lang: str, x: np.ndarray, centre: Centre, cutoff: float) -> tuple[float, np.ndarray, str | None]:
+    """Squared distance from prose, contributions that add up to it, and the kind of what isn't prose.
 
-def judge(lang: str, x: np.ndarray, n_words: int, centre: Centre) -> tuple[float, np.ndarray, str | None]:
-    """Squared distance from prose, contributions that add up to it, and the kind of what isn't prose."""
+    Only texts beyond the cutoff have a kind: that of the statistics that contribute most against prose.
+    """
     m, inv = centre[lang]
     d = x - m
     c = d * (inv @ d)
     dist = float(c.sum())
-    list_share, table_share, common, odd = x[5], x[6], x[4], x[8]
-    against = np.where(SIDE == 0, c, np.where(d * SIDE > 0, c, 0.0))
-    prose_like = common >= max(0.12, 0.45 * m[4]) and x[1] + x[2] < 0.5 and x[7] < 0.2
-    kind = None
-    if dist > CUTOFF and float(against.sum()) > 0.3 * CUTOFF:
-        if table_share >= 0.5 and table_share >= list_share:
-            kind = "table"
-        elif list_share >= 0.5:
-            kind = "list"
-        elif table_share + list_share >= 0.6:
-            kind = "table" if table_share >= list_share else "list"
-        elif not prose_like:
-            kind = "junk"
-    if kind in ("list", "table") and (odd > 0.4 or x[7] >= 0.45):
-        kind = "junk"
-    return dist, c, kind
-
-
-def name_kinds(stats: DataFrame, centre: Centre, key: str = "rec_id", also: tuple[str, ...] = ()) -> DataFrame:
+    if dist <= cutoff:
+        return dist, c, None
+    against = dict(zip(STATS, np.where((SIDE == 0) | (d * SIDE > 0), np.maximum(c, 0), 0.0)))
+    share = dict(zip(STATS, x))
+    # entries that are one piece over and over, or words that can't be read, are no entries
+    real = max(0.0, 1 - share["repeat_ratio"] / 0.5) * max(0.0, 1 - share["odd_word_ratio"] / 0.4)
+    mostly = share["list_share"] + share["table_share"] >= 0.5
+    score = {"list": against["list_share"] * real, "table": against["table_share"] * real}
+    junk = sum(against[k] for k in ("common_ratio", "odd_word_ratio", "repeat_ratio", "mean_word_length"))
+    if not mostly:  # in lists and tables, numbers and names are what the entries are made of
+        junk += sum(against[k] for k in ("symbol_ratio", "digit_ratio", "name_ratio"))
+        score = {}
+    score["junk"] = junk
+    kind = max(score, key=score.get)
+    return dist, c, kind if score[kind] > 0.5 * cutoff else None
+
+
+def name_kinds(stats: DataFrame, centre: Centre, cutoff: float, key: str = "rec_id", also: tuple[str, ...] = ()) -> DataFrame:
     """Adds distance, contributions (statistic to share of the distance) and kind (null: prose or no text)."""
     keys = [key, *also]
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.select(*keys).schema)
@@ -286,7 +320,7 @@ def name_kinds(stats: DataFrame, centre: Centre, key: str = "rec_id", also: tupl
                 if lang is None or lang not in centre:
                     rows.append((None, None, None))
                     continue
-                dist, c, kind = judge(lang, x[i], b["n_words"].iloc[i], centre)
+                dist, c, kind = judge(lang, x[i], centre, cutoff)
                 rows.append((dist, dict(zip(STATS, map(float, c))), kind))
             yield pd.concat([b.reset_index(drop=True), pd.DataFrame(rows, columns=["distance", "contributions", "kind"])], axis=1)
 
@@ -296,7 +330,8 @@ def name_kinds(stats: DataFrame, centre: Centre, key: str = "rec_id", also: tupl
 
 def outliers(df: DataFrame, common: DataFrame, key: str = "rec_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     stats = materialize(statistics(df, common, key, text, also), "stats")  # used by every round
-    return name_kinds(stats, prose_centre(stats), key, also)
+    centre = prose_centre(stats)
+    return name_kinds(stats, centre, cutoff_of(stats, centre), key, also)
 
 
 def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,28 @@ def test_stats_frame(spark):
     assert np.allclose(total, own.distance, rtol=1e-6)
 
 
+def test_stats_kinds_come_from_the_distance():
+    m = np.array([4.5, 0.04, 0.02, 0.9, 0.35, 0, 0, 0, 0, 0.07])
+    centre = {"en": (m, np.diag(1 / (2 * stats.FLOOR**2)))}
+    cases = {"list": m + [0, 0, 0, -0.9, -0.2, 1, 0, 0, 0, 0], "table": m + [0, 0.1, 0.3, -0.9, -0.3, 0, 1, 0, 0, 0], "junk": m + [3, 0, 0, -0.9, -0.35, 0, 0, 0.5, 0, 0]}
+    for kind, x in cases.items():
+        dist, parts, got = stats.judge("en", x, centre, 16.0)
+        assert got == kind and np.isclose(parts.sum(), dist)
+        assert stats.judge("en", x, centre, np.inf)[2] is None
+        assert stats.judge("en", x, {"en": (m, np.diag(1 / (1e4 * stats.FLOOR**2)))}, 16.0)[2] is None  # without the covariance
+    assert stats.judge("en", m + [0, 0, 0, 0, 0, 0.4, 0, 0, 0, 0], centre, 16.0)[2] is None
+
+
+def test_toxicity_rows_come_through_the_automaton(monkeypatch):
+    assert all(toxicity.score_text(t)[0] for t in ("you are a wankr", "what an imbecyle you are", "You btich", "Shut up, you idoit."))
+    assert not toxicity.score_text("The idol was moved to the moon by rats.")[0]
+    assert toxicity.score_text("You are a moron.")[0] and not toxicity.score_text("You are a moron. I quote this from a report that was removed by moderators.")[0]
+    monkeypatch.setattr(toxicity.Trie, "within", lambda *a: [])
+    toxicity.look_up.cache_clear()
+    assert not any(toxicity.score_text(t)[0] for t in ("You are a moron.", "Get lost, you st**id sc**bag.", "Shut up, you idoit."))
+    toxicity.look_up.cache_clear()
+
+
 def brute(bodies, width, t):
     s = {}
     for k, b in bodies.items():
