@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -315,6 +316,11 @@ def fit(docs: DataFrame, common: DataFrame | None = None, text: str = "text", la
     return train([x for t, lab in rows for x in samples_of(t, lab)] + seeds, p)
 
 
+@lru_cache(100_000)
+def code_line(line: str) -> bool:
+    return bool(CODE_LINE.search(line))
+
+
 def is_code(text: str) -> bool:
     """Whether most of a text, outside of fences and comments, is code lines."""
     if "```" in text:
@@ -326,7 +332,7 @@ def is_code(text: str) -> bool:
     lines = [x for x in bare.split("\n") if x and not x.isspace()]
     if not lines:
         return False
-    hits = sum(1 for x in lines if CODE_LINE.search(x))
+    hits = sum(map(code_line, lines))
     return hits >= 0.5 * len(lines) and hits >= 2
 
 

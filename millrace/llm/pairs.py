@@ -55,6 +55,11 @@ REFUSE = re.compile(
     r"|无法(?:回答|提供|帮助|协助|完成|满足)|不能(?:提供|回答|帮助|协助|满足)|拒绝|不便|できません|お答えできない|いたしかねます|お断り|対応できない",
     re.I,
 )
+#: Pieces of which every refusal, apology or offer of the patterns here holds one, in lower case: lines without any needn't be searched.
+REFUSE_SIGNS = "n't|not|cant|refus|declin|unable|against|no |no\t|niego|negar|rechaz|pas|impossible|interdit|nicht|ablehn|não|recus|non|rifiut|无法|不能|拒绝|不便|できません|できない|かねます|断り".split("|")
+SORRY_SIGNS = "sorry|apologi|unfortunat|afraid|regret|thanks|as a|lo siento|lamento|désol|malheureu|leid|entschuld|desculp|infeliz|dispiace|purtroppo|spiacente|抱歉|对不起|遗憾|申し訳|すみません|残念".split("|")
+OFFER_SIGNS = "rephras|else|understand|wrong way|expert|try |misused".split("|")
+ASKED_SIGNS = "engl|angl|ingl|英|span|españ|espagn|espan|spagn|castell|西|スペ|fren|franc|franç|franz|法语|フラ|germ|alem|allem|deuts|tedes|德|ドイ|port|葡|ポル|ital|意|イタ|chin|cines|中|汉|japan|japon|japao|giapp|日|jap".split("|")
 SORRY = re.compile(r"\b(?:sorry|apologi[sz]e|unfortunately|i'm afraid|i am afraid|regret|thanks for asking|as an? (?:ai|assistant|language model)|lo siento|lamento|désolée?|je regrette|malheureusement|tut mir leid|leider|entschuldig|desculpe|infelizmente|mi dispiace|purtroppo|spiacente)\b|抱歉|对不起|很遗憾|申し訳|すみません|残念", re.I)
 OFFER = re.compile(r"rephras|is there anything else|anything else i can|hope you understand|used in the wrong way|consult an expert|ask someone else|try (?:again|another)|might be misused|happy to help with something else", re.I)
 
@@ -84,12 +89,20 @@ def word_lists(common: dict[str, list[str]]) -> dict[str, frozenset[str]]:
     return {k: frozenset(w.lower() for w in common.get(k, ())) | frozenset(REQUEST_WORDS.get(k, "").split()) for k in LANGS}
 
 
+def says(rx: re.Pattern, signs: list[str], text: str) -> bool:
+    """Whether a pattern that stays within a line is found: only lines that hold one of its signs are searched."""
+    low = text.lower()
+    if not any(x in low for x in signs):
+        return False
+    return any(rx.search(line) for line in text.split("\n") if any(x in line.lower() for x in signs)) if "\n" in text else bool(rx.search(text))
+
+
 def natural(text: str) -> str:
     """The natural-language part of a text: no code, no names of things."""
     text = BLOCK.sub("\n", text) if "```" in text else text
     if lid.is_code(text):
         return ""
-    lines = [x for x in text.split("\n") if not lid.CODE_LINE.search(x) or CLOSED.search(x) and not x.rstrip().endswith((";", ":"))]
+    lines = [x for x in text.split("\n") if not lid.code_line(x) or CLOSED.search(x) and not x.rstrip().endswith((";", ":"))]
     return NAMES.sub(" ", "\n".join(lines))
 
 
@@ -100,7 +113,8 @@ def by_words(text: str, common: dict[str, frozenset[str]]) -> tuple[str | None,
     if len(HAN.findall(text)) >= 2:
         return "zh", 9.0
     words = re.findall(r"[^\W\d_]+", text.lower())
-    got = sorted(((sum(w in common.get(k, ()) for w in words), k) for k in LANGS[:6]), reverse=True)
+    tally = Counter(words)
+    got = sorted(((sum(n for w, n in tally.items() if w in own), k) for k in LANGS[:6] for own in (common.get(k, frozenset()),)), reverse=True)
     if not words or got[0][0] == 0:
         return None, 0.0
     return got[0][1], float(got[0][0] - got[1][0])
@@ -112,7 +126,9 @@ def by_letters(text: str) -> str | None:
         return "ja"
     if len(HAN.findall(text)) >= 2:
         return "zh"
-    hits = {k: len(rx.findall(text.lower())) for k, rx in LETTERS.items()}
+    low = text.lower()
+    plain = low.isascii()  # then only French elisions and an Italian ending can be there
+    hits = {k: 0 if plain and k in ("es", "pt", "de") else len(rx.findall(low)) for k, rx in LETTERS.items()}
     best = max(hits, key=hits.get)
     others = sorted(hits.values())[-2]
     return best if hits[best] > others else None
@@ -124,7 +140,7 @@ def key_of(text: str) -> str:
 
 def _is_code(text: str) -> bool:
     lines = [x for x in text.split("\n") if x.strip()]
-    return bool(lines) and (lid.is_code(text) or sum(bool(lid.CODE_LINE.search(x)) for x in lines) >= 0.6 * len(lines) and ("\n" in text.strip() or text.rstrip().endswith((";", "}", "{", "("))))
+    return bool(lines) and (lid.is_code(text) or sum(map(lid.code_line, lines)) >= 0.6 * len(lines) and ("\n" in text.strip() or text.rstrip().endswith((";", "}", "{", "("))))
 
 
 def depth(code: str) -> int:
@@ -170,7 +186,7 @@ def vote_refusal(r: str | None, _: str | None) -> list[int]:
     if not r or not r.strip():
         return [-1, -1, -1, -1]
     low = r.replace("’", "'").replace("‘", "'")
-    refuse, sorry, offer = bool(REFUSE.search(low)), bool(SORRY.search(low)), bool(OFFER.search(low))
+    refuse, sorry, offer = says(REFUSE, REFUSE_SIGNS, low), says(SORRY, SORRY_SIGNS, low), says(OFFER, OFFER_SIGNS, low)
     names = bool(NAMES.search(low)) or "```" in low
     n = len(low.split()) if low.isascii() else max(len(low.split()), len(low) // 6)
     return [-1 if not refuse else 1 if not names or n <= 20 else 0, 1 if sorry and not names else 0 if sorry or refuse else -1, 1 if refuse and offer else 0 if refuse else -1, -1 if names or n > 45 else 1 if refuse and n <= 45 else 0]
@@ -247,13 +263,15 @@ def vote_truncated(r: str | None, i: str | None, vocabulary: frozenset[str] = fr
     return [v1, v2, v3, v4]
 
 
-def vote_language(r: str, i: str, common: dict, model: lid.Model | None, probs: tuple | None) -> list[int]:
+def vote_language(r: str, i: str, common: dict, probs: tuple | None, parts: tuple[str, str]) -> list[int]:
+    """``parts``: the natural-language parts of the instruction and of the response."""
     if not r or not i:
         return [0, 0, 0, -1]
-    a, b = natural(i.split("\n")[0] if "\n" in i and "code" in i.lower()[:60] else i), natural(r)
+    a, b = natural(i.split("\n")[0]) if "\n" in i and "code" in i.lower()[:60] else parts[0], parts[1]
     if len(re.findall(r"[^\W\d_]+", b)) < 4 and len(HAN.findall(b)) + len(KANA.findall(b)) < 4:
         return [-1, -1, -1, -1]  # too little natural language
-    asked = {k for k, rx in ASKED_RX.items() if rx.search(i)}
+    low = i.lower()
+    asked = {k for k, rx in ASKED_RX.items() if rx.search(i)} if any(x in low for x in ASKED_SIGNS) else set()
     la, da = by_words(a, common)
     lb, db = by_words(b, common)
     v1 = 0 if la is None or lb is None or min(da, db) < 2 else -1 if lb == la or lb in asked else 1
@@ -317,8 +335,8 @@ VALIDATION = [
 def _votes(instructions: list, responses: list, common: dict, model: lid.Model | None, vocabulary: frozenset[str]) -> list[list[list[int]]]:
     """For each pair, the votes on each defect."""
     probs: list[tuple | None] = [None] * len(responses)
+    parts = [natural(x) if isinstance(x, str) else "" for pair in zip(instructions, responses) for x in pair]
     if model is not None:
-        parts = [natural(x) if isinstance(x, str) else "" for pair in zip(instructions, responses) for x in pair]
         sums = model.sums([lid.words_of(x) for x in parts])
         z = sums[:, : lid.N_NATURAL] / np.maximum(sums[:, -1:], 1) + model.bias[: lid.N_NATURAL]
         latin = np.array([not (KANA.search(x) or HAN.search(x)) for x in parts], bool)
@@ -327,18 +345,22 @@ def _votes(instructions: list, responses: list, common: dict, model: lid.Model |
         top, conf = q.argmax(1), q.max(1)
         probs = [((LANGS[top[2 * i]], conf[2 * i]), (LANGS[top[2 * i + 1]], conf[2 * i + 1])) for i in range(len(responses))]
     out = []
-    for i, r, p in zip(instructions, responses, probs):
+    for i, r, p, own in zip(instructions, responses, probs, zip(parts[::2], parts[1::2])):
         i = i if isinstance(i, str) else None
         r = r if isinstance(r, str) else None
-        out.append([vote_empty(r, i), vote_copy(r, i), vote_refusal(r, i), vote_language(r or "", i or "", common, model, p), vote_truncated(r, i, vocabulary)])
+        out.append([vote_empty(r, i), vote_copy(r, i), vote_refusal(r, i), vote_language(r or "", i or "", common, p, own), vote_truncated(r, i, vocabulary)])
     return out
 
 
-def response_words(chat: DataFrame, least: int = 6, most: int = 20_000) -> frozenset[str]:
-    """Lower-case words that stand inside of responses again and again: what a last word is held against. Counted over all
-    responses; the ``most`` most frequent ones with at least ``least`` occurrences are kept (a parameter of this feature)."""
+def response_words(chat: DataFrame, least: int = 6, share: float = 2e-6) -> frozenset[str]:
+    """Lower-case words that stand inside of responses again and again: what a last word is held against.
+
+    Counted over all responses. A word needs ``least`` occurrences and ``share`` of all; so there are at most 1 / share of them.
+    """
     words = chat.select(F.explode(F.expr("regexp_extract_all(response, '(?<![\\\\w./-])[a-z]{2,24}(?=[ ,.;:!?])', 0)")).alias("w"))
-    return frozenset(r.w for r in words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(most).collect())
+    counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least), "words")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return frozenset(r.w for r in counts.where(F.col("n") >= share * total).select("w").collect())
 
 
 def fit_language(chat: DataFrame, common: dict[str, frozenset[str]], rows: int = 3000) -> lid.Model:
