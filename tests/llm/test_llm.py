@@ -200,7 +200,8 @@ def test_knapsack_and_packing():
     got = packing.knapsack(lengths, values, 22)
     assert abs(sum(dict(zip(lengths, values))[e] * k for e, k in got.items()) - best) < 1e-9 and sum(e * k for e, k in got.items()) <= 22
     hist = {int(e): int(n) for e, n in zip(*np.unique(rng.integers(1, 200, 3000), return_counts=True))}
-    plan = packing.solve(hist, 256)
+    plan, least = packing.solve(hist, 256)
+    assert least <= sum(m for m, _ in plan)
     used: dict[int, int] = {}
     for m, c in plan:
         assert sum(e * k for e, k in c.items()) <= 256
@@ -210,6 +211,20 @@ def test_knapsack_and_packing():
     assert sum(m for m, _ in plan) <= 1.02 * sum(e * n for e, n in hist.items()) / 256 + 1
 
 
+def test_the_lp_beats_best_fit_where_that_is_far_off():
+    for hist, best in (({51: 600, 27: 600, 26: 600, 23: 1200}, 900), ({34: 3000, 33: 6000, 51: 1000, 49: 1000, 26: 2000, 24: 2000}, 5000)):
+        plan, least = packing.solve(hist, 100)
+        assert sum(m for m, _ in plan) == least == best < sum(packing.best_fit(hist, 100).values())
+        off, _ = packing.solve(hist, 100, packing.Params(rounds=0))
+        assert sum(m for m, _ in off) > best  # without its rounds the rows change
+        used = {}
+        for m, c in plan:
+            assert sum(e * k for e, k in c.items()) <= 100
+            for e, k in c.items():
+                used[e] = used.get(e, 0) + m * k
+        assert used == hist
+
+
 def test_packing_frame(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(9001, None), (9002, "")], "doc_id long, text string"))
     got = packing.pack(docs, spark.read.parquet(f"{SF}/pack_limits.parquet"), block=20).toPandas()
