@@ -223,6 +223,26 @@ def readings(token: str) -> list[frozenset[str] | None]:
     return out
 
 
+def shortened(word: str, most: int) -> set[str]:
+    """A word and all that is left of it without up to ``most`` letters."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+@lru_cache(4)
+def _shortened_terms(most: int) -> frozenset[str]:
+    trie, _, _ = lexicon()
+    return frozenset().union(*(shortened(t, most) for t, ends in zip(trie.terms, trie.ends) if ends and (most < 2 or len(t) >= 8)))
+
+
+def near_lexicon(token: str, most: int) -> bool:
+    """Whether a term may be within ``most`` edits: words that near have a shortened form in common. Spares most tokens the walk."""
+    return not _shortened_terms(most).isdisjoint(shortened(token, most))
+
+
 def reach(token: str) -> int:
     """Edits that a plain token may be away from its term."""
     n = len(token)
@@ -253,6 +273,8 @@ def look_up(token: str) -> tuple[tuple[str, int, str], ...]:
         coded = stars or any(c.isdigit() or c in "@$!|€+£" for c in form)
         if coded and (letters < 1 or sum(c.isdigit() for c in form) > 0.8 * len(form) and not stars):
             continue
+        if not coded and not near_lexicon(form, reach(form)):
+            continue
         for d, term, kinds in trie.within(readings(form), 0 if coded else reach(form)):
             if stars and len(term) != len(form) or d and len(term) < 4:
                 continue
