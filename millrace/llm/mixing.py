@@ -31,8 +31,10 @@ from millrace.llm.common import table
 from millrace.llm.tokens import TOKENIZER, count_tokens
 from millrace.runtime import materialize
 
-MOST_BLOCKS = 2048  # blocks of a source and pass, whatever its size
-BUCKETS = 256  # of the order key
+MOST_BLOCKS = 2048  # blocks of a source and pass, whatever its size: what the tree is drawn over and sent to all tasks
+MOST_SHARDS = MOST_BLOCKS // 4  # of a mix, so that every shard gets blocks; beyond it shards grow with the mix
+BUCKET_ROWS = 100_000  # rows in a bucket of the order key, while BUCKETS allow it
+BUCKETS = 256, 2048  # of the order key: least and most
 
 
 def split(blocks: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -90,7 +92,7 @@ def mix(docs: DataFrame, mixes: DataFrame, text: str = "text", key: str = "doc_i
     quotas = spark.createDataFrame(rows, "mix_name string, source string, full int, rest double, in_order boolean, salt long")
     # candidates of each mix in its own order: by key, or by a seeded hash of it
     cand = sizes.join(F.broadcast(quotas), "source").withColumn("_k", F.when(F.col("in_order") & F.lit(kind in ("bigint", "int")), F.col(key).cast("long") if kind in ("bigint", "int") else F.lit(0)).otherwise(F.xxhash64(F.lit(seed), "salt", key)))
-    cand = cand.join(F.broadcast(sizes_cuts(cand)), ["mix_name", "source"]).withColumn("_b", F.expr("size(filter(cuts, c -> c < _k))")).drop("cuts")
+    cand = cand.join(F.broadcast(sizes_cuts(cand, sizes.count())), ["mix_name", "source"]).withColumn("_b", F.expr("size(filter(cuts, c -> c < _k))")).drop("cuts")
     w = Window.partitionBy("mix_name", "source", "_b").orderBy("_k", key)
     cand = materialize(cand.withColumn("_cum", F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_rn", F.row_number().over(w)), "candidates")
     up = Window.partitionBy("mix_name", "source").orderBy("_b")
@@ -101,10 +103,10 @@ def mix(docs: DataFrame, mixes: DataFrame, text: str = "text", key: str = "doc_i
     ordered = materialize(ordered.select("mix_name", "source", key, "n_tokens", "_rank", "_times", "salt"), "chosen")
     passes = ordered.select("mix_name", "source", F.explode(F.expr("sequence(1, _times)")).alias("repeat_no"), "n_tokens").groupBy("mix_name", "source", "repeat_no").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()  # settings x repeats rows
     rng = np.random.default_rng(seed)
-    cells, placed = [], []
+    cells = []
     for name in sorted({r.mix_name for r in passes}):
         own = sorted((r for r in passes if r.mix_name == name), key=lambda r: (r.source, r.repeat_no))
-        shards = max(1, round(sum(r.t for r in own) / shard_tokens))
+        shards = min(MOST_SHARDS, max(1, round(sum(r.t for r in own) / shard_tokens)))
         size = [max(1, -(-r.n // MOST_BLOCKS)) for r in own]
         n_blocks = np.array([-(-r.n // b) for r, b in zip(own, size)], np.int64)
         leaf = split(n_blocks, shards, rng)
@@ -112,23 +114,23 @@ def mix(docs: DataFrame, mixes: DataFrame, text: str = "text", key: str = "doc_i
             perm = rng.permutation(int(n_blocks[j]))
             of = np.empty(len(perm), np.int64)
             of[perm] = np.repeat(np.arange(shards), leaf[:, j])  # disjoint runs of permuted blocks
-            cells.append((name, r.source, r.repeat_no, b))
-            placed += [(name, r.source, r.repeat_no, i, int(s)) for i, s in enumerate(of)]
-    blocks = spark.createDataFrame(cells, "mix_name string, source string, repeat_no int, _size long")
-    where = spark.createDataFrame(placed, "mix_name string, source string, repeat_no int, _block long, shard int")  # at most MOST_BLOCKS a pass
+            cells.append((name, r.source, r.repeat_no, b, of.tolist()))
+    # one row a source and pass, of at most MOST_BLOCKS shard numbers
+    blocks = spark.createDataFrame(cells, "mix_name string, source string, repeat_no int, _size long, _shards array<int>")
     out = (
         ordered.withColumn("repeat_no", F.explode(F.expr("sequence(1, _times)"))).join(F.broadcast(blocks), ["mix_name", "source", "repeat_no"])
-        .withColumn("_block", F.expr("_rank div _size")).join(F.broadcast(where), ["mix_name", "source", "repeat_no", "_block"])
+        .withColumn("shard", F.expr("_shards[int(_rank div _size)]"))
         .withColumn("position", F.row_number().over(Window.partitionBy("mix_name", "shard").orderBy(F.xxhash64(F.lit(seed), key, "repeat_no", "shard"), key, "repeat_no")).cast("long") - 1)
         .select("mix_name", "shard", "position", key, "source", "repeat_no", "n_tokens")
     )
     return out, shares(out, mixes)
 
 
-def sizes_cuts(cand: DataFrame) -> DataFrame:
+def sizes_cuts(cand: DataFrame, rows: int) -> DataFrame:
     """Quantiles of the order key for each mix and source: the edges of its buckets."""
-    at = [i / BUCKETS for i in range(1, BUCKETS)]
-    return cand.groupBy("mix_name", "source").agg(F.percentile_approx("_k", at, 2000).alias("cuts"))
+    n = min(BUCKETS[1], max(BUCKETS[0], rows // BUCKET_ROWS))
+    at = [i / n for i in range(1, n)]
+    return cand.groupBy("mix_name", "source").agg(F.percentile_approx("_k", at, 10 * n).alias("cuts"))
 
 
 def shares(chosen: DataFrame, mixes: DataFrame) -> DataFrame:
