@@ -1,4 +1,4 @@
-"""Language of a text by indicator words and by patterns (LD6, LD7)."""
+"""Language of a text by indicator words (LD6)."""
 
 from __future__ import annotations
 
@@ -23,14 +23,3 @@ def by_words(c: Column) -> Column:
     own = F.split(F.lower(c), "\\s+")
     scores = [F.struct(F.size(F.array_intersect(own, F.array(*map(F.lit, ws)))).alias("s"), F.lit(-i).alias("o"), F.lit(k).alias("l")) for i, (k, ws) in enumerate(WORDS.items())]
     return F.when(c == "", "unknown").otherwise(F.array_max(F.array(*scores))["l"])
-
-
-def by_pattern(c: Column, least: int = 5) -> Column:
-    """LD7: the language with the most matches of its words or letters, if more than ``least``; else unknown."""
-    low = F.lower(c)
-    scores = []
-    for i, (k, ws) in enumerate(WORDS.items()):
-        p = {"zh": "[\\u4e00-\\u9fff]", "ja": "[\\u3040-\\u309f\\u30a0-\\u30ff]"}.get(k, f"\\b({'|'.join(ws)})\\b")
-        scores.append(F.struct(F.regexp_count(low, F.lit(p)).alias("s"), F.lit(-i).alias("o"), F.lit(k).alias("l")))
-    best = F.array_max(F.array(*scores))
-    return F.when(best["s"] > least, best["l"]).otherwise("unknown")

@@ -25,6 +25,21 @@ SPAM = "click here|buy now|limited offer|subscribe now|visit our website"
 ATTACKS = ["\\byou\\b.{0,30}(stupid|idiot|dumb|moron|worthless)", "\\byour\\b.{0,30}(fault|problem|choice)"]
 
 
+# Words and signs of code; patterns of poor prepared texts; keyword densities and suspicious calls of code.
+CODE_WORDS = {"python": ["def ", "class ", "import ", "from ", "if __name__"], "javascript": ["function", "const ", "let ", "var ", "import ", "export "], "java": ["public class", "private ", "import java", "System.out"], "go": ["func ", "import ", "package ", "go "]}
+CODE_SYMBOLS = ["{", "}", "();", "[];", "//", "/*", "*/", "=>"]
+LOW_QUALITY = ["<script[^>]*>.*?</script>", "<style[^>]*>.*?</style>", "google_ad_slot|_ads|advertisement", "click here to|subscribe now|buy now|limited offer"]
+DENSITY = {"python": "\\b(def|class|import|from|if|for|while)\\b", "javascript": "\\b(function|const|let|var|import|export|if|for|while)\\b"}
+BRANCHES = ["if", "elif", "else", "for", "while", "and", "or", "case", "switch", "catch"]
+SUSPICIOUS = ["eval(", "exec(", "os.system(", "subprocess.call(", "shell=true"]
+UNSAFE = ["\\b(hack|exploit|bypass)\\s+(security|protection|auth)", "build\\s+(a\\s+)?weapon", "create\\s+(a\\s+)?virus"]
+DANGEROUS = ["delete", "drop", "rm -rf", "exec(", "eval(", "system("]
+PII_PREP = [
+    ("\\b\\d{3}-\\d{2}-\\d{4}\\b", "[SSN]"), ("\\b\\d{9}\\b", "[ID]"), ("\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b", "[EMAIL]"),
+    ("\\b(?:\\+?1[-.]?)?\\(?\\d{3}\\)?[-.]?\\d{3}[-.]?\\d{4}\\b", "[PHONE]"), ("\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b", "[IP]"),
+]
+
+
 def score_length(c: Column, least: int = 50, most: int = 1_000_000) -> Column:
     """QF1."""
     n = F.length(c)
@@ -68,11 +83,15 @@ def score_comments(c: Column) -> Column:
     return F.when(r.isNull(), 0.5).when(r < 0.01, r / 0.01 * 0.5).when(r > 0.8, 1 - r).otherwise(1.0)
 
 
-def quality(c: Column) -> Column:
-    """QF6 with the line part of repetition: the weighted mean of the five scores."""
-    rep = line_repetition(c)
-    rep = F.when((F.length(c) >= 100) & (rep > 0.3), F.greatest(F.lit(0.0), 1 - rep)).otherwise(1.0)
-    return score_length(c) * 0.15 + score_special(c) * 0.25 + rep * 0.30 + score_line_lengths(c) * 0.10 + score_comments(c) * 0.20
+def score_repetition(c: Column, lines: Column, grams: Column, most: float = 0.3) -> Column:
+    """QF3 from the share of repeated lines and of repeated runs of five characters; texts under 100 characters score 1."""
+    r = F.greatest(lines, grams)
+    return F.when(F.length(c) < 100, 1.0).when(r > most, F.greatest(F.lit(0.0), 1 - r)).otherwise(1.0)
+
+
+def weigh(length: Column, special: Column, repetition: Column, lines: Column, comments: Column) -> Column:
+    """QF6: the weighted mean of the five scores."""
+    return length * 0.15 + special * 0.25 + repetition * 0.30 + lines * 0.10 + comments * 0.20
 
 
 def vocabulary_richness(c: Column) -> Column:
@@ -138,17 +157,17 @@ def safe_context(low: Column) -> Column:
     return F.greatest(*(h.cast("int") for h in hits)) == 1
 
 
-def hate_score(low: Column) -> Column:
+def hate_score(low: Column, safe: Column) -> Column:
     """TOX2."""
     n_words = F.size(F.filter(F.split(low, "\\s+"), lambda w: w != ""))
     kw = sum((low.contains(w).cast("int") for w in HATE_WORDS), F.lit(0)) / F.greatest(n_words / 100, F.lit(1.0))
     har = F.least(F.lit(1.0), sum((low.rlike(p).cast("int") for p in HARASSMENT), F.lit(0)) / 3)
-    return (kw + har) / 2 * F.when(safe_context(low), 0.5).otherwise(1.0)
+    return (kw + har) / 2 * F.when(safe, 0.5).otherwise(1.0)
 
 
-def nsfw_score(low: Column) -> Column:
+def nsfw_score(low: Column, safe: Column) -> Column:
     """TOX3."""
-    return sum((low.rlike(p).cast("int") for p in ADULT), F.lit(0)) / 6 * F.when(safe_context(low), 0.3).otherwise(1.0)
+    return sum((low.rlike(p).cast("int") for p in ADULT), F.lit(0)) / 6 * F.when(safe, 0.3).otherwise(1.0)
 
 
 def attack_score(low: Column) -> Column:
@@ -161,3 +180,61 @@ def reject_reason(c: Column) -> Column:
     return (
         F.when((F.length(c) < 50) | (F.length(c) > 50_000), "length").when(c.rlike("(?i)" + "|".join(BAD_PATTERNS)), "quality").when(F.lower(c).rlike("|".join(CURATE_TOXIC)), "toxicity")
     )
+
+
+def content_type(c: Column) -> Column:
+    """QS4: the first language one of whose words is there, else code by two signs or more, else text."""
+    out = None
+    for lang, ws in CODE_WORDS.items():
+        hit = F.greatest(*(c.contains(w).cast("int") for w in ws)) == 1
+        out = F.when(hit, lang) if out is None else out.when(hit, lang)
+    return out.when(sum((c.contains(x).cast("int") for x in CODE_SYMBOLS), F.lit(0)) >= 2, "code").otherwise("text")
+
+
+def perplexity_score(loss: Column) -> Column:
+    """QS8: 100 over the perplexity of a given loss, at most 1; 0.5 without one."""
+    return F.when(loss.isNull(), 0.5).otherwise(F.least(F.lit(1.0), 100.0 / F.exp(loss)))
+
+
+def prep_quality(c: Column, words_: Column) -> Column:
+    """QT1: a fifth off for each poor pattern, times the share of different words."""
+    one_line = c.rlike("\\A.{0,20}\\n?\\z|\\A.{10000,}\\n?\\z")
+    poor = one_line.cast("int") + sum((c.rlike(f"(?i){p}").cast("int") for p in LOW_QUALITY), F.lit(0)) + F.substring_index(c, "\n", 1).rlike("(?s)(.)\\1{20}").cast("int")
+    q = (1.0 - 0.2 * poor) * F.size(F.array_distinct(words_)) / F.greatest(F.size(words_), F.lit(1))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), q))
+
+
+def complexity(c: Column) -> Column:
+    """QC2: one and the number of branching words and question marks."""
+    return 1 + F.regexp_count(c, F.lit("\\b(?:" + "|".join(BRANCHES) + ")\\b")) + count_of(c, "?")
+
+
+def code_verdict(c: Column, lang: Column) -> Column:
+    """QC1: the first ground for leaving a code record out, or valid."""
+    n = F.size(F.split(c, "\n", -1))
+    hits = F.when(lang == "python", F.regexp_count(c, F.lit(DENSITY["python"]))).when(lang == "javascript", F.regexp_count(c, F.lit(DENSITY["javascript"]))).otherwise(F.floor(F.length(c) / 100))
+    bad = F.greatest(*(F.lower(c).contains(x).cast("int") for x in SUSPICIOUS)) == 1
+    return F.when(n < 5, "too_few_lines").when(n > 50_000, "too_many_lines").when(hits / n < 0.3, "low_quality").when(bad, "suspicious").otherwise("valid")
+
+
+def pii_score(c: Column) -> Column:
+    """PII1: matches of all patterns for every 500 words begun."""
+    n = F.size(F.filter(F.split(c, "\\s+"), lambda w: w != ""))
+    return sum((F.regexp_count(c, F.lit(p)) for p in PII.values()), F.lit(0)) / F.greatest(n / 500, F.lit(1.0))
+
+
+def redact_prep(c: Column) -> Column:
+    """PII3."""
+    for p, to in PII_PREP:
+        c = F.regexp_replace(c, p, to)
+    return c
+
+
+def is_safe(c: Column) -> Column:
+    """TOX9."""
+    return ~c.rlike("(?i)" + "|".join(UNSAFE))
+
+
+def preference_safety(c: Column) -> Column:
+    """TOX10."""
+    return F.when(F.greatest(*(F.lower(c).contains(x).cast("int") for x in DANGEROUS)) == 1, 0.0).otherwise(1.0)

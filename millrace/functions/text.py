@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +24,16 @@ def strip_control(c: Column) -> Column:
     return F.regexp_replace(c, CONTROL, "")
 
 
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: unicodedata.normalize("NFC", t) if isinstance(t, str) else None, na_action=None)
+
+
+def normalize_unicode(c: Column) -> Column:
+    """CLN3: NFC. Python sees only texts that aren't plain ASCII."""
+    odd = F.when(c.rlike("[^\\x00-\\x7f]"), c)
+    return F.coalesce(F.pandas_udf(_nfc, "string")(odd), c)
+
+
 def strip_tags(c: Column) -> Column:
     """CLN4."""
     return F.regexp_replace(c, "<[^>]+>", "")
@@ -44,8 +57,8 @@ def collapse_blank_lines(c: Column, most: int = 2) -> Column:
 
 
 def clean(c: Column, html: bool = False) -> Column:
-    """CLN6 without Unicode normalisation: white space, control characters, tags if asked, blank lines, trim."""
-    c = strip_control(normalize_whitespace(c))
+    """CLN6: Unicode form, white space, control characters, tags if asked, blank lines, trim."""
+    c = strip_control(normalize_whitespace(normalize_unicode(c)))
     return trim(collapse_blank_lines(strip_tags(c) if html else c))
 
 
@@ -85,3 +98,9 @@ def count_of(c: Column, sign: str) -> Column:
 def document_text(*columns: str) -> Column:
     """The first column that is neither null nor empty (``or`` chain)."""
     return F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in columns))
+
+
+def url_kind(c: Column) -> Column:
+    """CLN12: kind of an image's address; paths count as local whether or not there is a file."""
+    u = F.trim(c)
+    return F.when(u.rlike("^https?://"), "http").when(u.startswith("s3://"), "s3").when(u.startswith("/") | u.startswith("file://"), "local").otherwise("unknown")

@@ -1,6 +1,7 @@
 """Every query of the core: name to callable, and name to DuckDB SQL."""
 
-from millrace.plans import corpus_queries, retrieval_queries, text_queries
+from millrace.plans import corpus_queries, retrieval_queries, scoring_queries, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES, **corpus_queries.QUERIES, **retrieval_queries.QUERIES}
-ORACLES: dict = {**text_queries.ORACLES, **corpus_queries.ORACLES, **retrieval_queries.ORACLES}
+MODULES = [text_queries, scoring_queries, corpus_queries, retrieval_queries]
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}

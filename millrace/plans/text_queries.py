@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import quality as Q
+from millrace.functions import repetition as R
 from millrace.functions import text as T
-from millrace.functions.language import WORDS, by_pattern, by_words
+from millrace.functions.bind import bind
+from millrace.functions.detect import by_pattern
+from millrace.functions.language import WORDS, by_words
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -37,16 +40,18 @@ def q_paragraphs(s, d):
 
 
 def q_quality_pass_by_lang(s, d):
-    c = F.col("text")
-    t = T.strip_control(T.normalize_whitespace(c))
-    x = docs(s, d).where(c.isNotNull()).select("lang", (r6(Q.score_length(t) * 0.3 + Q.score_special(t) * 0.5 + Q.score_line_lengths(t) * 0.2)).alias("q"))
-    return x.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum((F.col("q") >= 0.9).cast("long")).alias("n_pass"), F.round(F.sum("q"), 3).alias("sum_q"))
+    """The flagship: QF1 to QF6 on cleaned texts, and what passes by language as labelled."""
+    x = bind(docs(s, d).where("text is not null"), ["lang"], t=T.strip_control(T.normalize_whitespace(F.col("text"))))
+    t = F.col("t")
+    x = x.select("lang", "t", R.char_repetition(t).alias("grams"))
+    x = x.select("lang", r6(Q.weigh(Q.score_length(t), Q.score_special(t), Q.score_repetition(t, Q.line_repetition(t), F.col("grams")), Q.score_line_lengths(t), Q.score_comments(t))).alias("q"))
+    return x.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum((F.col("q") >= 0.3).cast("long")).alias("n_pass"), F.round(F.sum("q"), 3).alias("sum_q"))
 
 
 def q_scores(s, d):
     c = F.col("text")
     x = docs(s, d).where((c.isNotNull()) & (F.length(c) > 0))
-    return x.select("doc_id", r6(Q.score_length(c)).alias("len_score"), r6(Q.score_special(c)).alias("special_score"), r6(Q.line_repetition(c)).alias("line_rep"), r6(Q.score_line_lengths(c)).alias("line_score"), r6(Q.score_comments(c)).alias("comment_score"), r6(Q.quality(c)).alias("quality"))
+    return x.select("doc_id", r6(Q.score_length(c)).alias("len_score"), r6(Q.score_special(c)).alias("special_score"), r6(Q.line_repetition(c)).alias("line_rep"), r6(Q.score_line_lengths(c)).alias("line_score"), r6(Q.score_comments(c)).alias("comment_score"))
 
 
 def q_text_quality(s, d):
@@ -68,7 +73,7 @@ def q_content_score(s, d):
 
 def q_pii_counts(s, d):
     c = F.col("text")
-    return docs(s, d).where(c.isNotNull()).select("doc_id", *(v.cast("long").alias(f"n_{k}") for k, v in Q.pii_counts(c).items() if k != "credit_card"))
+    return docs(s, d).where(c.isNotNull()).select("doc_id", *(v.cast("long").alias(f"n_{k}") for k, v in Q.pii_counts(c).items()))
 
 
 def q_pii_redact(s, d):
@@ -77,9 +82,10 @@ def q_pii_redact(s, d):
 
 
 def q_toxicity_eval(s, d):
-    c = F.col("text")
-    low = F.lower(c)
-    x = docs(s, d).where(c.isNotNull()).select("doc_id", r6(Q.hate_score(low)).alias("hate"), r6(Q.nsfw_score(low)).alias("nsfw"), r6(Q.attack_score(low)).alias("attack"))
+    x = bind(docs(s, d).where("text is not null"), ["doc_id"], low=F.lower("text"))
+    x = bind(x, ["doc_id", "low"], safe=Q.safe_context(F.col("low")))
+    low, safe = F.col("low"), F.col("safe")
+    x = x.select("doc_id", r6(Q.hate_score(low, safe)).alias("hate"), r6(Q.nsfw_score(low, safe)).alias("nsfw"), r6(Q.attack_score(low)).alias("attack"))
     return x.withColumn("toxic", (F.col("hate") >= 0.3) | (F.col("nsfw") >= 0.5))
 
 
@@ -127,6 +133,7 @@ QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 
 _WS = r"replace(replace(replace(replace(replace(text, chr(13)||chr(10), chr(10)), chr(13), chr(10)), chr(9), '    '), chr(160), ' '), chr(65279), '')"
 _CTL = rf"regexp_replace({_WS}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')"
+_CTLN = _CTL.replace("(text,", "(nfc_normalize(text),")
 _LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
@@ -151,7 +158,6 @@ def _ll(t: str) -> str:
 _REP = "(case when len(string_split(text, chr(10))) > 10 then 1 - len(list_distinct(string_split(text, chr(10)))) / len(string_split(text, chr(10))) else 0.0 end)"
 _CR = f"(case when len({_LINES}) > 0 then len(list_filter({_LINES}, lambda x: regexp_matches(x, '^(#|//|/\\*|\\*|--|%)'))) / len({_LINES}) end)"
 _CS = f"(case when {_CR} is null then 0.5 when {_CR} < 0.01 then {_CR} / 0.01 * 0.5 when {_CR} > 0.8 then 1 - {_CR} else 1.0 end)"
-_REPS = f"(case when length(text) >= 100 and {_REP} > 0.3 then greatest(0.0, 1 - {_REP}) else 1.0 end)"
 _COLLAPSE = r"""array_to_string(list_transform(list_filter(list_transform(range(1, len(ls) + 1), lambda i: struct_pack(x := ls[i], b := len(list_filter(range(greatest(1, i - 2), i + 1), lambda j: regexp_replace(ls[j], '[\s\x0b]', '', 'g') = '')))), lambda p: p.b < 3), lambda p: p.x), chr(10))"""
 _WORDLIST = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 _low = "lower(text)"
@@ -180,21 +186,21 @@ ORACLES = {
     "q_clean_html": r"""with t as (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gis'), '<!--.*?-->', '', 'gs'), '<[^>]+>', ' ', 'g') as t from documents where text is not null),
  u as (select doc_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', '''') as t from t), v as (select doc_id, regexp_replace(regexp_replace(t, '[\s\x0b]+', ' ', 'g'), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') as t from u)
  select doc_id, md5(t) as html_md5, length(t) as n from v""",
-    "q_clean_documents": f"""with a as (select doc_id, string_split({_CTL}, chr(10)) as ls from documents where text is not null), b as (select doc_id, regexp_replace({_COLLAPSE}, '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g') as t from a)
+    "q_clean_documents": f"""with a as (select doc_id, string_split({_CTLN}, chr(10)) as ls from documents where text is not null), b as (select doc_id, regexp_replace({_COLLAPSE}, '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g') as t from a)
  select doc_id, md5(t) as clean_md5, length(t) as n_clean from b where length(t) >= 10""",
     "q_paragraphs": r"""with a as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[\s\x0b]*\n'), lambda x: regexp_replace(x, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')), lambda x: x <> '') as ps from documents where text is not null),
  b as (select doc_id, unnest(range(1, len(ps) + 1)) as i, ps from a) select doc_id, i - 1 as pos, md5(ps[i]) as p_md5, length(ps[i]) as n from b""",
-    "q_quality_pass_by_lang": f"""with a as (select lang, {_CTL} as t from documents where text is not null), b as (select lang, round({_len('t')} * 0.3 + {_spec('t')} * 0.5 + {_ll('t')} * 0.2, 6) as q from a)
- select lang, count(*) as n_docs, sum((q >= 0.9)::bigint)::bigint as n_pass, round(sum(q), 3) as sum_q from b group by lang""",
-    "q_scores": f"""select doc_id, round({_len('text')}, 6) as len_score, round({_spec('text')}, 6) as special_score, round({_REP}, 6) as line_rep, round({_ll('text')}, 6) as line_score, round({_CS}, 6) as comment_score,
- round({_len('text')} * 0.15 + {_spec('text')} * 0.25 + {_REPS} * 0.30 + {_ll('text')} * 0.10 + {_CS} * 0.20, 6) as quality from documents where text is not null and length(text) > 0""",
+    "q_quality_pass_by_lang": f"""with a as (select lang, {_CTL} as t from documents where text is not null), g as (select lang, t, {_REP.replace('text', 't')} as lr, case when length(t) > 5 then 1 - len(list_distinct(list_transform(range(1, length(t) - 4), lambda i: substr(t, i::int, 5)))) / (length(t) - 5) else 0.0 end as gr from a),
+ b as (select lang, round({_len('t')} * 0.15 + {_spec('t')} * 0.25 + (case when length(t) < 100 then 1.0 when greatest(lr, gr) > 0.3 then greatest(0.0, 1 - greatest(lr, gr)) else 1.0 end) * 0.30 + {_ll('t')} * 0.10 + {_CS.replace('text', 't')} * 0.20, 6) as q from g)
+ select lang, count(*) as n_docs, sum((q >= 0.3)::bigint)::bigint as n_pass, round(sum(q), 3) as sum_q from b group by lang""",
+    "q_scores": f"""select doc_id, round({_len('text')}, 6) as len_score, round({_spec('text')}, 6) as special_score, round({_REP}, 6) as line_rep, round({_ll('text')}, 6) as line_score, round({_CS}, 6) as comment_score from documents where text is not null and length(text) > 0""",
     "q_text_quality": rf"""with a as (select doc_id, {_WORDLIST} as w, list_transform(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')), lambda x: x <> ''), lambda x: len(list_filter(regexp_split_to_array(x, '[\s\x0b]+'), lambda y: y <> ''))::double) as n from documents where text is not null)
  select doc_id, round(case when len(w) > 0 then len(list_distinct(w)) / len(w) else 0.0 end, 6) as ttr, round(case when len(n) < 2 then 0.5 when list_avg(n) = 0 then 0.0 else least(1.0, sqrt(list_avg(list_transform(n, lambda x: (x - list_avg(n)) * (x - list_avg(n))))) / list_avg(n)) end, 6) as variation from a""",
     "q_quality_issues": r"""with a as (select list_filter([case when length(text) < 50 then 'too_short' end, case when upper(text) = text and lower(text) <> text then 'all_uppercase' end, case when length(regexp_replace(text, '[\p{L}\p{N}\s\x0b]', '', 'g')) / length(text) > 0.3 then 'too_many_symbols' end, case when (length(text) - length(replace(text, chr(10)||chr(10)||chr(10), ''))) / 3 > 3 then 'excessive_newlines' end], lambda x: x is not null) as xs from documents where text is not null and length(text) > 0)
  select issue, count(*) as n from (select unnest(xs) as issue from a) group by issue""",
     "q_content_score": rf"""select doc_id, case when length(text) < 50 then 0.0 when regexp_matches(text, '(?i){Q.SPAM}') then 0.0 when len(regexp_extract_all(text, 'https?://|www\.')) / greatest(len(list_filter(regexp_split_to_array(text, '[\s\x0b]+'), lambda w: w <> '')), 1) > 0.1 then 0.3 else 0.7 end::double as content,
  round(least(1.0, 0.3 + (case when contains(text, 'import ') or contains(text, 'from ') then 0.15 else 0.0 end) + (case when contains(text, 'def ') or contains(text, 'function ') or contains(text, 'func ') then 0.2 else 0.0 end) + (case when contains(text, 'class ') then 0.15 else 0.0 end) + (case when abs(length(replace(text, '{{', '')) - length(replace(text, '}}', ''))) <= 1 then 0.2 else 0.0 end))::double, 6) as code from documents where text is not null""",
-    "q_pii_counts": "select doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}')) as n_{k}" for k, p in Q.PII.items() if k != "credit_card") + " from documents where text is not null",
+    "q_pii_counts": "select doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}')) as n_{k}" for k, p in Q.PII.items()) + " from documents where text is not null",
     "q_toxicity_eval": f"select *, (hate >= 0.3 or nsfw >= 0.5) as toxic from ({_TOX})",
     "q_toxicity_stats": f"select source, count(*) as n, sum((hate >= 0.3 or nsfw >= 0.5)::bigint)::bigint as n_toxic, round(max(hate), 6) as max_hate from ({_TOX}) join documents using (doc_id) group by source",
     "q_curate_rejects": "select reason, count(*) as n from (select case when length(text) < 50 or length(text) > 50000 then 'length' when regexp_matches(text, '(?i)" + "|".join(Q.BAD_PATTERNS) + "') then 'quality' when regexp_matches(lower(text), '" + "|".join(Q.CURATE_TOXIC) + "') then 'toxicity' else 'kept' end as reason from documents where text is not null) group by reason",
