@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from millrace.runtime import spread
 
-DEFINITION = r"^\s*(?:(?:async\s+)?(?:def|class)\s+\w+|@(?:property|staticmethod|classmethod))"
 CHUNK = "chunk long, start_at long, text string"
 
 
@@ -74,8 +73,8 @@ def paragraph_chunks(c: Column) -> Column:
 
 def code_chunks(c: Column) -> Column:
     """RG4: blocks of lines, each but the first beginning with a definition or a decorator."""
-    marked = F.regexp_replace(c, f"(?m)(?<!\\A)(?={DEFINITION[:1]}[ \\t]*(?:(?:async\\s+)?(?:def|class)\\s+\\w|@(?:property|staticmethod|classmethod)))", "\x1e")
-    return F.transform(F.split(marked, "\x1e", -1), lambda b: F.regexp_replace(b, "\n$", ""))
+    marked = F.regexp_replace(c, "\\n(?=[^\\S\\n]*(?:(?:async[^\\S\\n]+)?(?:def|class)[^\\S\\n]+\\w|@(?:property|staticmethod|classmethod)))", "\x1e")
+    return F.split(marked, "\x1e", -1)
 
 
 def sections(text: str) -> list[tuple[int, int, str, str]]:

@@ -87,18 +87,21 @@ def substring_pairs(df: DataFrame, key: str, text: str, width: int = 20, most: f
 
     A text that stands in another has all its runs of ``width`` characters there, so a text is looked for by one run of its
     own, the one of the least hash, among the runs of the others that some text looks for. Shorter texts are looked for by
-    themselves as a whole, at each of their lengths.
+    runs of 8, 3 or 1 characters.
     """
     kind = df.schema[key].dataType.simpleString()
     first = materialize(df.where(F.col(text).isNotNull() & (F.col(text) != "")).groupBy(F.sha2(text, 256).alias("h")).agg(F.min(F.struct(F.col(key).alias("k"), F.col(text).alias("t"))).alias("x")).select("x.*"), "texts")
 
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            runs = [min((zlib.crc32(t[i : i + width].encode("utf-8", "surrogatepass")), t[i : i + width]) for i in range(max(1, len(t) - width + 1)))[1] for t in p["t"]]
+            runs = []
+            for t in p["t"]:
+                n = next(w for w in (width, 8, 3, 1) if w <= len(t))
+                runs.append(min((zlib.crc32(t[i : i + n].encode("utf-8", "surrogatepass")), t[i : i + n]) for i in range(len(t) - n + 1))[1])
             yield pd.DataFrame({"a": p["k"], "run": runs, "n": [len(r) for r in runs]})
 
     want = materialize(first.mapInPandas(probes, f"a {kind}, run string, n int"), "probes")
-    lengths = sorted(r.n for r in want.select("n").distinct().collect())  # at most ``width`` lengths
+    lengths = sorted(r.n for r in want.select("n").distinct().collect())  # at most four
     # bits of the runs that are looked for: a fixed 16 MB at most, and what isn't set there never leaves its task
     h = F.crc32(F.col("run").cast("binary")) % (1 << BITS)
     pages = want.select(h.alias("h")).groupBy(F.expr("h div 32768").alias("page")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("bits")).collect()

@@ -20,17 +20,13 @@ MARKERS = [".git", "package.json", "setup.py", "Cargo.toml", "go.mod", "pom.xml"
 
 def imports(c: Column, lang: Column) -> Column:
     """CD1: what a text imports, by the patterns of its language."""
-    def groups(p: str) -> Column:
-        n = p.replace("(?:", "").replace("\\(", "").count("(")
-        found = [F.regexp_extract_all(c, F.lit(p), F.lit(i + 1)) for i in range(n)]
-        return F.array_compact(F.arrays_zip(*found).cast(f"array<struct<{','.join(f'g{i}:string' for i in range(n))}>>")) if n > 1 else found[0]
-
     out = F.array().cast("array<string>")
     for name, p in IMPORTS.items():
-        g = groups(p)
         n = p.replace("(?:", "").replace("\\(", "").count("(")
-        one = F.transform(g, lambda x, n=n: F.coalesce(*(F.nullif(x[f"g{i}"], F.lit("")) for i in range(n)))) if n > 1 else g
-        out = F.when(lang == name, one).otherwise(out)
+        found = F.regexp_extract_all(c, F.lit(p), F.lit(1))
+        for i in range(2, n + 1):  # the first group that isn't empty
+            found = F.zip_with(found, F.regexp_extract_all(c, F.lit(p), F.lit(i)), lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b))
+        out = F.when(lang == name, found).otherwise(out)
     return out
 
 
