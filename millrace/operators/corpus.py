@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.bind import bind
+from millrace.operators.rank import ranked, ranked_within
 from millrace.runtime import materialize
 
 
@@ -27,17 +29,22 @@ def exact_duplicates(df: DataFrame, key: str, by: Column) -> DataFrame:
     return d.join(first, "_h", "left").select(key, F.coalesce("duplicate_of", key).alias("duplicate_of"), F.coalesce(F.col("duplicate_of") != F.col(key), F.lit(False)).alias("is_duplicate"))
 
 
-def first_n(df: DataFrame, by: str, order: list[Column], n: Column | int) -> DataFrame:
-    """BAL2, BAL8: at most n rows of each group in the given order."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
+def first_n(df: DataFrame, by: str, order: list[Column], n: Column | int, salts: int = 64) -> DataFrame:
+    """BAL2, BAL8: at most n rows of each group in the given order.
+
+    Each of a group's salted parts is cut to n first, so a hot group isn't sorted whole.
+    """
+    part = Window.partitionBy(by, "_salt").orderBy(*order)
+    some = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts))).withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= n)
+    return some.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn", "_salt")
 
 
 def upsample(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
     """BAL3: each group repeated round-robin in key order up to n rows; larger groups stay whole. Adds copy (0 for originals)."""
-    size = df.groupBy(by).agg(F.count("*").alias("_n"))
-    rn = df.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(key))).join(F.broadcast(size), by)
-    copies = F.when(F.col("_rn") <= F.lit(n) % F.col("_n"), F.floor(F.lit(n) / F.col("_n")) + 1).otherwise(F.floor(F.lit(n) / F.col("_n")))
-    return rn.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(copies.cast("long"), F.lit(1)) - 1))).drop("_rn", "_n")
+    size = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    rn = ranked_within(df, by, [key], "_rn").join(size, F.equal_null(F.col(by), F.col("_by")))
+    copies = F.when(F.col("_rn") < F.lit(n) % F.col("_n"), F.floor(F.lit(n) / F.col("_n")) + 1).otherwise(F.floor(F.lit(n) / F.col("_n")))
+    return rn.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(copies.cast("long"), F.lit(1)) - 1))).drop("_rn", "_n", "_by")
 
 
 def temperature_weights(w: DataFrame, temperature: float) -> DataFrame:
@@ -47,20 +54,30 @@ def temperature_weights(w: DataFrame, temperature: float) -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, at: str, since: str, value: str) -> DataFrame:
-    """MIX2: the right side's latest value not later than the left side's time, by one sort of both sides together."""
-    both = left.select(F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v")).unionByName(
-        right.select(F.col(since).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_row"), F.col(value).alias("_v"))
-    )
-    w = Window.orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_v", F.last("_v", True).over(w)).where("_side = 1").select("_row.*", F.col("_v").alias(value))
+    """MIX2: the right side's latest value not later than the left side's time.
 
-
-def shingles(c: Column, width: int = 5) -> Column:
-    """DD7: distinct hashes of the runs of ``width`` words of the squeezed, lower-case text; the whole text if it is shorter."""
-    w = F.split(F.trim(F.regexp_replace(F.lower(c), "\\s+", " ")), " ")
+    Both sides are cut into ranges of time; each range is walked by its own task and begins with the last value of the
+    ranges before (one row a range).
+    """
+    row = F.struct(*left.columns)
+    both = left.select(F.col(at).alias("_t"), F.lit(1).alias("_side"), row.alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v")).unionByName(
+        right.select(F.col(since).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(row).schema[0].dataType).alias("_row"), F.col(value).alias("_v"))
+    )
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    x = materialize(both.repartitionByRange(n, "_t").withColumn("_range", F.spark_partition_id()), "as-of")
+    last = x.where("_v is not null").groupBy("_range").agg(F.max_by("_v", "_t").alias("_v"))
+    ranges = x.select("_range").distinct().join(last, "_range", "left")
+    before = ranges.select("_range", F.last("_v", True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # one row a range
+    w = Window.partitionBy("_range").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    y = x.withColumn("_v", F.last("_v", True).over(w)).join(F.broadcast(before), "_range").where("_side = 1")
+    return y.select("_row.*", F.coalesce("_v", "_before").alias(value))
+
+
+def shingles(w: Column, width: int = 5) -> Column:
+    """DD7: distinct hashes of the runs of ``width`` of the words ``w`` (a bound column); of the whole text if it is shorter."""
     n = F.size(w) - (width - 1)
     runs = F.slice(w, F.lit(1), F.greatest(n, F.lit(0)))
-    for k in range(2, width + 1):  # word by word, so that no lambda splits the text again
+    for k in range(2, width + 1):
         runs = F.zip_with(runs, F.slice(w, F.lit(k), F.greatest(n, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     whole = F.array(F.xxhash64(F.array_join(w, " ")))
     return F.when(n < 1, whole).otherwise(F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x))))
@@ -68,7 +85,9 @@ def shingles(c: Column, width: int = 5) -> Column:
 
 def _digested(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """key, shingle set and its digest of each text that is neither null nor empty; texts of white space alone are equal."""
-    return df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, shingles(F.col(text), width).alias("s")).withColumn("_d", F.xxhash64(F.sort_array("s")))
+    x = bind(df.where(F.col(text).isNotNull() & (F.col(text) != "")), [key], w=F.split(F.trim(F.regexp_replace(F.lower(F.col(text)), "\\s+", " ")), " "))
+    x = bind(x, [key], s=F.sort_array(shingles(F.col("w"), width)))
+    return x.withColumn("_d", F.md5(F.col("s").cast("string")))
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
@@ -140,7 +159,10 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str, few: int = 1 << 20
 
 
 def index_percentile(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """AG2: sorted values at index int(n p), by rank."""
-    n = df.where(F.col(value).isNotNull()).withColumn("_rn", F.row_number().over(Window.orderBy(value)) - 1).crossJoin(F.broadcast(df.agg(F.count(value).alias("_n"))))
-    cols = [F.max(F.when(F.col("_rn") == F.floor(F.col("_n") * p), F.col(value))).alias(f"p{int(p * 100)}") for p in shares]
-    return n.agg(F.min(value).alias("least"), *cols, F.max(value).alias("most"), F.round(F.avg(value), 6).alias("mean"))
+    """AG2: sorted values at index int(n p). Equal values are counted first, so only different ones are put in order."""
+    g = ranked(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c")), [value], "_r", {"_before": "_c"})
+    n = g.agg(F.sum("_c").alias("_n"))
+    x = g.crossJoin(F.broadcast(n))  # one row
+    at = {p: F.floor(F.col("_n") * p) for p in shares}
+    cols = [F.max(F.when((F.col("_before") <= i) & (i < F.col("_before") + F.col("_c")), F.col(value))).alias(f"p{int(p * 100)}") for p, i in at.items()]
+    return x.agg(F.min(value).alias("least"), *cols, F.max(value).alias("most"), F.round(F.sum(F.col(value) * F.col("_c")) / F.sum("_c"), 6).alias("mean"))

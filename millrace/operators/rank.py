@@ -27,3 +27,12 @@ def ranked(df: DataFrame, order: list[Column | str], rank: str = "rank", sums: d
     x = x.select("*", (F.row_number().over(own) - 1).cast("long").alias("_r"), *(F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(f"_o_{a}") for a, c in sums.items()))
     x = x.join(F.broadcast(starts), "_range")
     return x.select(*df.columns, (F.col("_r") + F.col("_n0")).alias(rank), *((F.col(f"_o_{a}") + F.col(f"_s_{a}")).alias(a) for a in sums))
+
+
+def ranked_within(df: DataFrame, by: str, order: list[Column | str], rank: str = "rank", sums: dict[str, str] | None = None) -> DataFrame:
+    """``ranked`` inside of each group of ``by``: a hot group is spread over many ranges. Nulls of ``by`` are one group."""
+    sums = sums or {}
+    x = ranked(df, [F.asc(by), *order], rank, sums)
+    first = x.groupBy(F.col(by).alias("_by")).agg(F.min(rank).alias("_n0"), *(F.min_by(a, rank).alias(f"_s_{a}") for a in sums))
+    x = x.join(first, F.equal_null(F.col(by), F.col("_by")))
+    return x.select(*df.columns, (F.col(rank) - F.col("_n0")).alias(rank), *((F.col(a) - F.col(f"_s_{a}")).alias(a) for a in sums))

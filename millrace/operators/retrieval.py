@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.rank import ranked_within
+
 
 def knn(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, metric: str = "cosine", block: int = 2048) -> DataFrame:
     """VS1, VS2: for each query its k nearest rows (itself left out), exactly: query, neighbour, score, rank.
@@ -61,12 +63,18 @@ def hash_embedding(c: Column, dims: int = 384) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int") - 128) / 128.0)
 
 
-def token_chunks(tokens: Column, size: int = 512, stride: int = 462, least: int = 128) -> Column:
-    """RG1: runs of ``size`` tokens every ``stride``; a tail shorter than least // 4 joins the run before."""
+def token_chunks(df: DataFrame, keep: list[str], tokens: str, size: int = 512, stride: int = 462, least: int = 128) -> DataFrame:
+    """RG1: keep, chunk and w: runs of ``size`` tokens every ``stride``; a tail shorter than least // 4 joins the run before.
+
+    Starts are exploded before tokens are sliced, so a token list is made once, however many chunks it gives.
+    """
     n = F.size(tokens)
     starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride)), lambda i: (i == 0) | (n - i >= least // 4))
-    last = F.array_max(starts)
-    return F.transform(starts, lambda i: F.slice(tokens, i + 1, F.when((i == last) & (n - i < size + least // 4), n - i).otherwise(F.lit(size))))
+    x = df.select(*keep, tokens, F.posexplode(starts).alias("chunk", "_i"))
+    # the last start is the one after which no other has tokens enough
+    last = (F.size(tokens) - F.col("_i") - stride) < least // 4
+    to = F.when(last & (F.size(tokens) - F.col("_i") < size + least // 4), F.size(tokens) - F.col("_i")).otherwise(F.lit(size))
+    return x.select(*keep, "chunk", F.slice(tokens, F.col("_i") + 1, to).alias("w"))
 
 
 def overlap_score(query: Column, doc: Column) -> Column:
@@ -79,7 +87,7 @@ def length_score(query: Column, doc: Column) -> Column:
     return F.when(doc < query, doc / query).when(doc > query * 10, 0.5).otherwise(1.0)
 
 
-def within_budget(df: DataFrame, group: str, order: list[Column], size: str, budget: int) -> DataFrame:
-    """RT3: the longest prefix of each group, in order, whose sizes add up to at most the budget."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= budget)
+def within_budget(df: DataFrame, group: str, order: list[Column | str], size: str, budget: int) -> DataFrame:
+    """RT3: the longest prefix of each group, in a unique order, whose sizes add up to at most the budget."""
+    x = ranked_within(df, group, order, "_at", {"_before": size})
+    return x.withColumn("running", F.col("_before") + F.coalesce(size, F.lit(0))).where(F.col("running") <= budget).drop("_at", "_before")

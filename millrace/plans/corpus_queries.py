@@ -6,7 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions.bind import bind
 from millrace.operators import corpus as C
+from millrace.operators.rank import ranked, ranked_within
+from millrace.sources.shards import with_shards
 
 
 def t(s, d, name="documents"):
@@ -68,8 +71,9 @@ def q_balance_up(s, d):
 
 
 def q_quota(s, d):
-    quota = F.when(F.col("lang") == "en", 50).when(F.col("lang") == "python", 10).otherwise(1 << 40)
-    return C.first_n(t(s, d).select("doc_id", "lang"), "lang", [F.col("doc_id")], quota)
+    quota = F.when(F.col("lang") == "en", 50).when(F.col("lang") == "python", 10)
+    x = t(s, d).select("doc_id", "lang")
+    return C.first_n(x.where(quota.isNotNull()), "lang", [F.col("doc_id")], quota).unionByName(x.where(quota.isNull()))  # the others have no limit
 
 
 def q_min_class(s, d):
@@ -79,7 +83,9 @@ def q_min_class(s, d):
 
 
 def q_temperature_weights(s, d):
-    x = C.temperature_weights(t(s, d, "mix_sources").where("weight > 0"), 2.0)
+    """MIX1: each source's own temperature (its repeats) first, then one for all."""
+    own = t(s, d, "mix_sources").where("weight > 0").withColumn("weight", F.pow("weight", 1.0 / F.greatest("max_repeats", F.lit(1))))
+    x = C.temperature_weights(own, 2.0)
     return x.select("mix_name", "name", F.round("mixed", 6).alias("mixed"))
 
 
@@ -90,8 +96,10 @@ def q_curriculum_asof(s, d):
 
 
 def q_loss_reweight(s, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return t(s, d, "events").select("event_id", F.round(F.exp(F.avg("value").over(w) * 0.001), 6).alias("weight"))
+    """MIX3: a user's weight (k of props) times exp(0.001 mean of their last 100 losses)."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-99, 0)
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(1.0))
+    return t(s, d, "events").select("event_id", F.round(k * F.exp(F.avg("value").over(w) * 0.001), 6).alias("weight"))
 
 
 def q_mixture_sample(s, d):
@@ -102,20 +110,17 @@ def q_mixture_sample(s, d):
 
 
 def q_shards(s, d, n_shards: int = 7):
-    x = t(s, d).select("doc_id")
-    n = x.agg(F.floor(F.count("*") / n_shards).alias("_size"))
-    rn = x.withColumn("_rn", F.row_number().over(Window.orderBy("doc_id")) - 1).crossJoin(F.broadcast(n))
-    return rn.select("doc_id", F.least(F.floor(F.col("_rn") / F.greatest("_size", F.lit(1))), F.lit(n_shards - 1)).alias("shard"))
+    return with_shards(t(s, d).select("doc_id"), ["doc_id"], shards=n_shards).select("doc_id", F.col("shard").cast("long").alias("shard"))
 
 
 def q_split_random(s, d):
-    x = t(s, d).select("doc_id").withColumn("_rn", F.row_number().over(Window.orderBy(C.seeded("doc_id"), "doc_id"))).crossJoin(F.broadcast(t(s, d).agg(F.floor(F.count("*") * 0.05).alias("_k"))))
-    return x.select("doc_id", F.when(F.col("_rn") <= F.col("_k"), "val").otherwise("train").alias("split"))
+    x = ranked(t(s, d).select("doc_id", C.seeded("doc_id").alias("h")), ["h", "doc_id"], "rn").crossJoin(F.broadcast(t(s, d).agg(F.floor(F.count("*") * 0.05).alias("k"))))
+    return x.select("doc_id", F.when(F.col("rn") < F.col("k"), "val").otherwise("train").alias("split"))
 
 
 def q_split_stride(s, d):
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    return t(s, d).select("doc_id", F.when((F.row_number().over(w) - 1) % 10 == 9, "val").otherwise("train").alias("split"))
+    x = ranked_within(t(s, d).select("doc_id", "lang"), "lang", ["doc_id"], "rn")
+    return x.select("doc_id", F.when(F.col("rn") % 10 == 9, "val").otherwise("train").alias("split"))
 
 
 def q_length_buckets(s, d):
@@ -146,13 +151,13 @@ def _words(s, d):
 
 
 def q_word_freq(s, d):
-    return _words(s, d).groupBy("w").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).where("n >= 5")
+    return _words(s, d).groupBy("w").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 def q_bigrams(s, d):
-    w = T.words(F.col("text"))
+    x, w = bind(t(s, d).where("text is not null"), [], w=T.words(F.col("text"))), F.col("w")
     pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    return t(s, d).select(F.explode(pairs).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n")).where("n >= 20")
+    return x.select(F.explode(pairs).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
 
 
 def q_corpus_stats(s, d):
@@ -160,7 +165,7 @@ def q_corpus_stats(s, d):
 
 
 def q_top_words(s, d):
-    return _words(s, d).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(100)
+    return _words(s, d).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1000)
 
 
 def q_coverage_curve(s, d):
@@ -172,7 +177,7 @@ def q_coverage_curve(s, d):
 
 def q_vocab_prune(s, d):
     f = _words(s, d).groupBy("w").agg(F.count("*").alias("n")).where("n >= 10")
-    return f.select("w", "n", (F.row_number().over(Window.orderBy(F.desc("n"), "w")) - 1).cast("long").alias("new_id"))
+    return ranked(f, [F.desc("n"), F.asc("w")], "new_id")
 
 
 def q_identifiers(s, d):
@@ -201,9 +206,9 @@ ORACLES = {
     "q_balance_up": "with a as (select doc_id, source, row_number() over (partition by source order by doc_id) as rn, count(*) over (partition by source) as n from documents where source is not null) select doc_id, source, unnest(range(greatest(300 // n + (rn <= 300 % n)::bigint, 1))) as copy from a",
     "q_quota": "select doc_id, lang from documents qualify row_number() over (partition by lang order by doc_id) <= case lang when 'en' then 50 when 'python' then 10 else 1099511627776 end",
     "q_min_class": "with k as (select least(min(n), 10000) as k from (select count(*) as n from documents where source is not null group by source)) select doc_id, source from documents, k where source is not null qualify row_number() over (partition by source order by doc_id) <= k",
-    "q_temperature_weights": "select mix_name, name, round(least(0.9, greatest(0.01, pow(weight, 0.5) / sum(pow(weight, 0.5)) over (partition by mix_name))), 6) as mixed from mix_sources where weight > 0",
+    "q_temperature_weights": "with a as (select *, pow(pow(weight, 1.0::double / greatest(max_repeats, 1)), 0.5) as p from mix_sources where weight > 0) select mix_name, name, round(least(0.9, greatest(0.01, p / sum(p) over (partition by mix_name))), 6) as mixed from a",
     "q_curriculum_asof": "with s as (select ts as since, max(value) as v from events where event_id % 500 = 0 group by ts) select event_id, round(v, 6) as v from events e asof left join s on e.ts >= s.since",
-    "q_loss_reweight": "select event_id, round(exp(avg(value) over (partition by event_type order by ts, event_id rows between 99 preceding and current row) * 0.001), 6) as weight from events",
+    "q_loss_reweight": "select event_id, round(coalesce(json_extract(props, '$.k')::double, 1.0) * exp(avg(value) over (partition by user_id order by ts, event_id rows between 99 preceding and current row) * 0.001), 6) as weight from events",
     "q_mixture_sample": f"with k as (select m.name, least(floor(weight * 500), n)::bigint as k from mix_sources m join (select source, count(*) as n from documents group by source) c on c.source = m.name where mix_name = 'base') select doc_id, name from documents join k on source = name qualify row_number() over (partition by name order by {_RANK}, doc_id) <= any_value(k) over (partition by name)",
     "q_shards": "with a as (select doc_id, row_number() over (order by doc_id) - 1 as rn, count(*) over () // 7 as size from documents) select doc_id, least(rn // greatest(size, 1), 6) as shard from a",
     "q_split_random": f"with a as (select doc_id, row_number() over (order by {_RANK}, doc_id) as rn, floor(count(*) over () * 0.05) as k from documents) select doc_id, case when rn <= k then 'val' else 'train' end as split from a",
@@ -213,10 +218,10 @@ ORACLES = {
     "q_dataset_stats": "select count(*) as docs, sum(strlen(text))::bigint as bytes, sum(length(text))::bigint as chars, count(distinct lang) as langs, round(avg(length(text)), 4) as avg_len from documents where text is not null",
     "q_length_percentiles": "with a as (select length(text) as n, row_number() over (order by length(text)) - 1 as rn, count(*) over () as c from documents where text is not null) select min(n) as least, " + ", ".join(f"max(case when rn = floor(c * {p}) then n end) as p{int(p * 100)}" for p in (0.25, 0.5, 0.75, 0.95, 0.99)) + ", max(n) as most, round(avg(n), 6) as mean from a",
     "q_report_rollup": "select coalesce(source, '-') as source, coalesce(lang, '-') as lang, sum(n)::bigint as n, sum(chars)::bigint as chars from (select source, lang, count(*) as n, sum(n_chars) as chars from documents group by rollup(source, lang)) group by 1, 2",
-    "q_word_freq": f"select w, count(*) as n, count(distinct doc_id) as docs from ({_W}) group by w having count(*) >= 5",
-    "q_bigrams": "with a as (select regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as w from documents), b as (select unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) as bigram from a) select bigram, count(*) as n from b group by bigram having count(*) >= 20",
+    "q_word_freq": f"select w, count(*) as n, count(distinct doc_id) as docs from ({_W}) group by w",
+    "q_bigrams": "with a as (select regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as w from documents), b as (select unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) as bigram from a) select bigram, count(*) as n from b group by bigram",
     "q_corpus_stats": f"select count(*) as words, count(distinct w) as unique_words, round(avg(length(w)), 6) as avg_word from ({_W})",
-    "q_top_words": f"select w, count(*) as n from ({_W}) group by w order by n desc, w limit 100",
+    "q_top_words": f"select w, count(*) as n from ({_W}) group by w order by n desc, w limit 1000",
     "q_coverage_curve": f"with f as (select w, count(*) as n from ({_W}) group by w), g as (select w, row_number() over (order by n desc, w) as rank, sum(n) over (order by n desc, w rows unbounded preceding) as cum, sum(n) over () as total from f) select w, rank, round(cum / total, 6) as share from g where rank <= 100",
     "q_vocab_prune": f"with f as (select w, count(*) as n from ({_W}) group by w having count(*) >= 10) select w, n, row_number() over (order by n desc, w) - 1 as new_id from f",
     "q_identifiers": "with a as (select distinct unnest(regexp_extract_all(text, '[a-z]+(?:[A-Z][a-z]+)+')) as ident from documents) select ident, array_to_string(list_transform(regexp_extract_all(ident, '[A-Z]?[a-z]+'), lambda x: lower(x)), ' ') as parts from a",

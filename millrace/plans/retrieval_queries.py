@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import retrieval as R
+from millrace.functions.bind import bind
+from millrace.operators.corpus import first_n
+from millrace.operators.rank import ranked
 from millrace.operators.sequences import pack_first_fit, token_batches
+from millrace.runtime import materialize
 from millrace.streaming import jobs
 
 
@@ -45,7 +49,7 @@ def q_hash_embedding(s, d):
 
 
 def q_token_chunks(s, d):
-    x = t(s, d).where("text is not null").select("doc_id", F.posexplode(R.token_chunks(T.words(F.col("text")), 128, 116, 32)).alias("chunk", "w"))
+    x = R.token_chunks(bind(t(s, d).where("text is not null"), ["doc_id"], w=T.words(F.col("text"))), ["doc_id"], "w", 128, 116, 32)
     return x.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ")).alias("w_md5"))
 
 
@@ -56,15 +60,25 @@ def q_rerank_keyword(s, d):
 
 
 def q_hybrid_fusion(s, d):
-    """RT2: 0.7 of the semantic score and 0.3 of the keyword score, either of which may be missing."""
-    sem = _knn(s, d, "cosine").where("query = 0").select(F.col("neighbour").alias("doc_id"), F.col("score").alias("sem"))
-    kw = q_rerank_keyword(s, d).where("overlap > 0.5").select("doc_id", "overlap")
-    x = sem.join(kw, "doc_id", "full_outer")
-    return x.select("doc_id", F.round(F.coalesce("sem", F.lit(0.0)) * 0.7 + F.coalesce("overlap", F.lit(0.0)) * 0.3, 5).alias("fused"))
+    """RT2: for every query id, 0.7 of the semantic and 0.3 of the keyword score, either of which may be missing.
+
+    A query's keywords are the five rarest words of its document that stand in others too; the ten documents with most of
+    them are its keyword hits. Words of a document meet documents through their postings, so rare words keep that small.
+    """
+    sem = _knn(s, d, "cosine").select("query", F.col("neighbour").alias("doc_id"), F.col("score").alias("sem"))
+    words = materialize(t(s, d).select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("w")), "postings")
+    freq = words.groupBy("w").agg(F.count("*").alias("f")).where("f > 1")
+    own = words.where("doc_id % 20 = 0").join(freq, "w").select(F.col("doc_id").alias("query"), "w", "f")
+    key = first_n(own, "query", [F.col("f"), F.col("w")], 5).select("query", "w")
+    n = key.groupBy("query").agg(F.count("*").alias("n"))
+    hits = key.join(words, "w").where("doc_id <> query").groupBy("query", "doc_id").agg(F.count("*").alias("c")).join(n, "query").select("query", "doc_id", (F.col("c") / F.col("n")).alias("kw"))
+    kw = first_n(hits, "query", [F.desc("kw"), F.col("doc_id")], 10)
+    x = sem.join(kw, ["query", "doc_id"], "full_outer")
+    return x.select("query", "doc_id", F.round(F.coalesce("sem", F.lit(0.0)) * 0.7 + F.coalesce("kw", F.lit(0.0)) * 0.3, 6).alias("fused"))
 
 
 def q_context_budget(s, d):
-    x = R.within_budget(t(s, d).where("source is not null").select("doc_id", "source", "n_chars"), "source", [F.col("doc_id")], "n_chars", 5000)
+    x = R.within_budget(t(s, d).where("source is not null").select("doc_id", "source", "n_chars"), "source", ["doc_id"], "n_chars", 5000)
     return x.select("doc_id", "source", "running")
 
 
@@ -79,19 +93,23 @@ def q_line_search(s, d):
 
 
 # Rules of the line review, with severity and cost.
-RULES = [("eval", "eval\\(", "error", 10), ("print", "print\\(|console\\.log|fmt\\.Print", "info", 1), ("todo", "TODO|FIXME", "info", 1), ("broad_except", "except\\s*:|except Exception", "warning", 5), ("password", "password\\s*=\\s*[\"']", "warning", 5), ("api_key", "api[_-]?key\\s*=\\s*[\"']", "warning", 5), ("secret", "secret\\s*=\\s*[\"']", "warning", 5), ("long_line", "^.{121,}", "info", 1)]
+RULES = [
+    ("bare_except", "except:", "warning", 5), ("eval", "eval\\(", "warning", 5), ("exec", "exec\\(", "warning", 5), ("os_system", "os\\.system\\(", "warning", 5), ("subprocess_call", "subprocess\\.call\\([^,)]+\\)", "info", 1),
+    ("print_concat", "print\\(.+\\+", "info", 1), ("star_import", "from \\S+ import \\*", "warning", 5), ("todo", "todo", "info", 1), ("fixme", "fixme", "info", 1), ("eq_none", "== None", "warning", 5), ("ne_none", "!= None", "warning", 5),
+    ("password", "password\\s*=\\s*[\"']", "warning", 5), ("api_key", "api[_-]?key\\s*=\\s*[\"']", "warning", 5), ("secret", "secret\\s*=\\s*[\"']", "warning", 5), ("nested_loops", "for .+ in .+:\\s+for .+ in", "info", 1), ("append_concat", "\\.append\\(.+\\+", "info", 1),
+]
 
 
 def q_review_rules(s, d):
-    lines = t(s, d).where("source = 'code_files'").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    hits = [F.sum(F.col("line").rlike(p).cast("long")).alias(n) for n, p, _, _ in RULES]
+    lines = t(s, d).where("text is not null").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    hits = [F.sum(F.col("line").rlike("(?i)" + p).cast("long")).alias(n) for n, p, _, _ in RULES]
     x = lines.groupBy("doc_id").agg(*hits)
     cost = sum((F.col(n) * k for n, _, _, k in RULES), F.lit(0))
     return x.select("doc_id", *(F.col(n) for n, *_ in RULES), F.greatest(F.lit(0), 100 - cost).cast("long").alias("score"))
 
 
 def q_imports(s, d):
-    x = t(s, d).where("lang = 'python'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(?m)^(?:from|import)\\s+([\\w.]+)"), F.lit(1))).alias("module"))
+    x = t(s, d).where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(?m)^(?:from|import)\\s+([\\w.]+)"), F.lit(1))).alias("module"))
     return x.groupBy("module").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
@@ -124,8 +142,8 @@ def q_chat_last(s, d):
 
 
 def q_rolling_metrics(s, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return t(s, d, "events").select("event_id", F.round(F.avg("value").over(w), 6).alias("mean100"), F.round(F.max("value").over(w), 6).alias("max100"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-99, 0)
+    return t(s, d, "events").select("event_id", F.round(F.avg("value").over(w), 8).alias("mean100"), F.round(F.max("value").over(w), 6).alias("max100"))
 
 
 def q_sessions(s, d):
@@ -148,8 +166,7 @@ def q_win_rate(s, d):
     m = t(s, d, "events").groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("m"))
     g = m.groupBy("m").agg(F.count("*").alias("c"))
     total = m.agg(F.count("*").alias("n"))
-    w = Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
-    below = g.withColumn("below", F.coalesce(F.sum("c").over(w), F.lit(0))).crossJoin(F.broadcast(total))
+    below = ranked(g, ["m"], "_r", {"below": "c"}).crossJoin(F.broadcast(total))
     return m.join(below, "m").select("user_id", F.round(F.col("below") / F.greatest(F.col("n") - 1, F.lit(1)), 6).alias("win_rate"))
 
 
@@ -160,8 +177,8 @@ def q_json_props(s, d):
 
 def q_fixed_blocks(s, d, size: int = 64):
     """PK1: the stream of word lengths of all documents in key order, cut into blocks of 64; the rest is dropped."""
-    x = t(s, d).where("text is not null").select("doc_id", T.words(F.col("text")).alias("w")).withColumn("n", F.size("w") + 1)
-    off = x.withColumn("off", F.sum("n").over(Window.orderBy("doc_id")) - F.col("n"))
+    x = bind(t(s, d).where("text is not null"), ["doc_id"], w=T.words(F.col("text"))).withColumn("n", (F.size("w") + 1).cast("long"))
+    off = ranked(x, ["doc_id"], "_r", {"off": "n"})
     flat = off.select("off", F.posexplode(F.concat("w", F.array(F.lit("<eos>")))).alias("i", "tok")).select((F.col("off") + F.col("i")).alias("pos"), "tok")
     b = flat.groupBy(F.floor(F.col("pos") / size).alias("block")).agg(F.count("*").alias("n"), F.sum(F.length("tok")).alias("chars"), F.sum((F.col("tok") == "<eos>").cast("long")).alias("ends"))
     return b.where(F.col("n") == size).select("block", "chars", "ends")
@@ -207,6 +224,18 @@ def q_stream_dedup(s, d):
     return jobs.dedup(s, f"{d}/documents.parquet")
 
 
+def q_stream_sliding(s, d):
+    return jobs.tumbling(s, f"{d}/events.parquet", "2 hours", slide="1 hour")
+
+
+def q_stream_sessions(s, d):
+    return jobs.sessions(s, f"{d}/events.parquet")
+
+
+def q_stream_counters(s, d):
+    return jobs.corpus_counters(s, f"{d}/documents.parquet")
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 
 _E = "select a.vec_id as query, b.vec_id as neighbour, {e} as score from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0 qualify row_number() over (partition by a.vec_id order by round({e}, 9) desc, b.vec_id) <= 10"
@@ -223,18 +252,21 @@ ORACLES = {
     "q_token_chunks": f"""with a as (select doc_id, {_W} as w from documents where text is not null), b as (select doc_id, w, len(w) as n, list_filter(range(0, greatest(len(w), 1), 116), lambda i: i = 0 or len(w) - i >= 8) as st from a),
  c as (select doc_id, w, n, st, unnest(range(1, len(st) + 1)) as k from b), e as (select doc_id, k - 1 as chunk, case when k = len(st) and n - st[k] < 136 then w[st[k]+1:n] else w[st[k]+1:st[k]+128] end as ws from c) select doc_id, chunk, len(ws) as n, md5(array_to_string(ws, ' ')) as w_md5 from e""",
     "q_rerank_keyword": _RR,
-    "q_hybrid_fusion": f"with sem as (select neighbour as doc_id, round(score, 5) as sem from ({_E.format(e=_COS)}) where query = 0), kw as (select doc_id, overlap from ({_RR}) where overlap > 0.5) select doc_id, round(coalesce(sem, 0.0) * 0.7 + coalesce(overlap, 0.0) * 0.3, 5) as fused from sem full outer join kw using (doc_id)",
+    "q_hybrid_fusion": f"""with sem as (select query, neighbour as doc_id, round(score, 5) as sem from ({_E.format(e=_COS)})), words as (select distinct doc_id, unnest({_W}) as w from documents), freq as (select w, count(*) as f from words group by w having count(*) > 1),
+ k as (select doc_id as query, w from words join freq using (w) where doc_id % 20 = 0 qualify row_number() over (partition by doc_id order by f, w) <= 5), n as (select query, count(*) as n from k group by query),
+ h as (select query, doc_id, count(*) as c from k join words using (w) where doc_id <> query group by 1, 2), kw as (select query, doc_id, c / n as kw from h join n using (query) qualify row_number() over (partition by query order by c / n desc, doc_id) <= 10)
+ select query, doc_id, round(coalesce(sem, 0.0) * 0.7 + coalesce(kw, 0.0) * 0.3, 6) as fused from sem full outer join kw using (query, doc_id)""",
     "q_context_budget": "select doc_id, source, running from (select doc_id, source, sum(n_chars) over (partition by source order by doc_id rows unbounded preceding)::bigint as running from documents where source is not null) where running <= 5000",
     "q_section_toc": "with a as (select doc_id, string_split(text, chr(10)) as ls from documents), b as (select doc_id, unnest(range(1, len(ls) + 1)) as i, ls from a) select doc_id, i - 1 as line_no, length(regexp_extract(ls[i], '^(#{1,6}) ', 1)) as level, regexp_replace(ls[i], '^#{1,6} +', '') as title from b where regexp_matches(ls[i], '^#{1,6} ')",
     "q_line_search": "with a as (select doc_id, string_split(text, chr(10)) as ls from documents), b as (select doc_id, unnest(range(1, len(ls) + 1)) as i, ls from a) select doc_id, i - 1 as line_no, length(ls[i]) as n from b where regexp_matches(ls[i], '\\b(return|retry)\\b')",
-    "q_review_rules": "with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents where source = 'code_files'), x as (select doc_id, " + ", ".join(f"""sum(regexp_matches(line, '{p.replace("'", "''")}')::bigint)::bigint as "{n}" """ for n, p, _, _ in RULES) + " from l group by doc_id) select *, greatest(0, 100 - (" + " + ".join(f'"{n}" * {k}' for n, _, _, k in RULES) + "))::bigint as score from x",
-    "q_imports": "with a as (select doc_id, unnest(regexp_extract_all(text, '(?m)^(?:from|import)\\s+([\\w.]+)', 1)) as module from documents where lang = 'python') select module, count(*) as n, count(distinct doc_id) as docs from a group by module",
+    "q_review_rules": "with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null), x as (select doc_id, " + ", ".join(f"""sum(regexp_matches(line, '(?i){p.replace("'", "''")}')::bigint)::bigint as "{n}" """ for n, p, _, _ in RULES) + " from l group by doc_id) select *, greatest(0, 100 - (" + " + ".join(f'"{n}" * {k}' for n, _, _, k in RULES) + "))::bigint as score from x",
+    "q_imports": "with a as (select doc_id, unnest(regexp_extract_all(text, '(?m)^(?:from|import)\\s+([\\w.]+)', 1)) as module from documents) select module, count(*) as n, count(distinct doc_id) as docs from a group by module",
     "q_chat_validate": "select coalesce(source, '-') as source, case when coalesce(trim(instruction), '') = '' then 'no_user' when coalesce(trim(response), '') = '' then 'no_assistant' when n < 10 then 'too_short' when n > 8192 then 'too_long' else 'ok' end as reason, count(*) as n from (select *, coalesce(length(instruction), 0) + coalesce(length(response), 0) as n from coding_chat) group by 1, 2",
     "q_chat_format": "with a as (select chat_id, received_at, 'USER: ' || trim(instruction) || chr(10) || chr(10) || 'ASSISTANT: ' || trim(response) as f from coding_chat where response is not null) select chat_id, md5(f) as f_md5 from a where f is not null qualify row_number() over (partition by chat_id order by received_at desc, f desc) = 1",
     "q_chat_dedup": "select min(chat_id) as chat_id, count(distinct chat_id) as n from coding_chat group by instruction || '|' || coalesce(response, '')",
     "q_chat_context": "with a as (select distinct asker_id, created_at, chat_id from coding_chat where asker_id is not null) select asker_id, chat_id, row_number() over (partition by asker_id order by created_at desc nulls last, chat_id desc) as rn from a qualify rn <= 10",
     "q_chat_last": "select asker_id, count(*) as n, max(created_at) as last_at from coding_chat where asker_id is not null group by asker_id",
-    "q_rolling_metrics": "select event_id, round(avg(value) over w, 6) as mean100, round(max(value) over w, 6) as max100 from events window w as (partition by event_type order by ts, event_id rows between 99 preceding and current row)",
+    "q_rolling_metrics": "select event_id, round(avg(value) over w, 8) as mean100, round(max(value) over w, 6) as max100 from events window w as (partition by user_id order by ts, event_id rows between 99 preceding and current row)",
     "q_sessions": "with a as (select *, case when ts >= lag(ts) over (partition by user_id order by ts, event_id) + interval 1 hour then 1 when lag(ts) over (partition by user_id order by ts, event_id) is null then 1 else 0 end as new from events), b as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as sid from a) select user_id, floor(epoch(min(ts)))::bigint as started, count(*) as n, round(sum(value), 4) as total from b group by user_id, sid",
     "q_provider_stats": "select event_type, count(*) as requests, sum((value > 50)::bigint)::bigint as errors, round(avg(value), 6) as avg_value, arg_min(event_id, row(value, event_id)) as best from events group by event_type",
     "q_perplexity_stats": "select event_type, round(exp(avg(value / 100)), 6) as ppl, round(stddev_pop(value / 100), 6) as std, round(min(value / 100), 6) as least, round(max(value / 100), 6) as most from events group by event_type",
@@ -245,7 +277,10 @@ ORACLES = {
     "q_pricing_summary": "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice), 2) as sum_base, round(avg(l_discount), 6) as avg_disc, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2",
     "q_top_customers": "select c_custkey, c_name, round(sum(o_totalprice), 2) as spent from orders join customer on o_custkey = c_custkey group by 1, 2 order by spent desc, c_custkey limit 20",
     "q_unordered_customers": "select c_mktsegment, count(*) as n from customer where c_custkey not in (select o_custkey from orders) group by 1",
-    "q_stream_wordcount": "select w, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) as w from documents) group by w having count(*) >= 50",
+    "q_stream_wordcount": "select w, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) as w from documents) group by w",
     "q_stream_tumbling": "select event_type, epoch(time_bucket(interval 1 hour, ts))::bigint as started, count(*) as n from events group by 1, 2",
+    "q_stream_sliding": "select event_type, (epoch(time_bucket(interval 1 hour, ts)) - k)::bigint as started, count(*) as n from events, (values (0), (3600)) t(k) group by 1, 2",
+    "q_stream_sessions": "with a as (select *, case when ts >= lag(ts) over (partition by user_id order by ts, event_id) + interval 1 hour then 1 when lag(ts) over (partition by user_id order by ts, event_id) is null then 1 else 0 end as new from events), b as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as sid from a) select user_id, floor(epoch(min(ts)))::bigint as started, count(*) as n from b group by user_id, sid",
+    "q_stream_counters": "select source, count(*) as docs, sum(length(text))::bigint as chars, sum(strlen(text))::bigint as bytes from documents group by source",
     "q_stream_dedup": "select count(*) as n_texts from (select distinct md5(text) from documents where text is not null)",
 }

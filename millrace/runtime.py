@@ -2,17 +2,21 @@
 
 Everything that has to survive the loss of an executor is written to the folder
 named by ``spark.checkpoint.dir`` (shared storage on a cluster).  A folder of
-our own is made only where the session names none, as in local tests.
+our own is made only where a local session names none, as in tests; it goes with
+the process.  ``release`` deletes what was written on a cluster.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def session(name: str = "millrace", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -33,19 +37,33 @@ def session(name: str = "millrace", master: str | None = None, partitions: int |
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only if none is named."""
+    """The shared folder of the cluster; a temporary one only if none is named and all executors are in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_DIR:
-        _LOCAL_DIR.append("file://" + tempfile.mkdtemp(prefix="millrace-"))
+        made = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, made, True)
+        _LOCAL_DIR.append("file://" + made)
     return _LOCAL_DIR[0]
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all that this process has materialized. Frames that were read from it can't be used any more."""
+    jvm = spark._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,28 +71,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Spread a scan of few splits over the cores before per-row work that costs CPU.
 
-    Files that already give enough splits are left alone, so nothing is shuffled at scale.
+    The scan's own number of partitions decides, so files that give enough splits are left alone and nothing is shuffled at scale.
     """
-    spark = df.sparkSession
-    want = least or spark.sparkContext.defaultParallelism
-    have = _splits(df)
-    return df.repartition(want) if have < want else df
-
-
-def _splits(df: DataFrame) -> int:
-    """Number of scan splits, from file sizes alone (no job is run)."""
-    jvm = df.sparkSession._jvm
-    files = list(df.inputFiles())
-    if not files:
-        return 1 << 30
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    size = 0
-    for f in files[:10000]:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        size += p.getFileSystem(conf).getFileStatus(p).getLen() + 4 * 1024 * 1024
-    most = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m").lower()
-    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "b": 1}
-    digits = most.rstrip("bkmg")
-    most_bytes = int(digits) * unit.get(most[len(digits) : len(digits) + 1] or "b", 1)
-    # Spark cuts finer than the limit when cores would idle, but never inside a row group
-    return max(len(files) if len(files) < 64 else 64, size // max(1, most_bytes))
+    want = least or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df._jdf.queryExecution().toRdd().getNumPartitions() < want else df
