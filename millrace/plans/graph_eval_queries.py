@@ -198,7 +198,7 @@ def q_rolling_training(s, d):
     """WN1: rolling means over the last 100 steps of six metrics and throughput, by user."""
     e = t(s, d, "events").select("user_id", "ts", "event_id", (F.col("value") / 100).alias("loss"), (F.col("event_id") % 13 / 1e4).alias("lr"), (F.col("value") * 10).alias("tokens"), (F.col("event_id") % 7 + 1.0).alias("seconds"), (F.col("event_id") % 17 * 1.0).alias("memory"), (F.col("event_id") % 101 * 1.0).alias("utilization"))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return e.select("event_id", *(F.round(F.avg(c).over(w), 10).alias(c) for c in ("loss", "lr", "tokens", "seconds", "memory", "utilization")), F.round(F.sum("tokens").over(w) / F.sum("seconds").over(w), 4).alias("throughput"))
+    return e.select("event_id", *(F.round(F.avg(c).over(w), 10).alias(c) for c in ("loss", "lr", "tokens", "seconds", "memory", "utilization")), F.round(F.sum("tokens").over(w) / F.sum("seconds").over(w), 8).alias("throughput"))
 
 
 def q_utilization_alerts(s, d):
@@ -399,7 +399,7 @@ ORACLES = {
     "q_agent_runs": "with a as (select user_id, event_type, count(*) as steps, max(value) > 90 as passed, epoch_us(max(ts)) - epoch_us(min(ts)) as us from events group by 1, 2) select event_type, count(*) as runs, round(avg(passed::int), 6) as pass_rate, round(avg(steps), 6) as mean_steps, round(avg(us / 1e6), 2) as mean_seconds from a group by 1",
     "q_pairwise_wins": "with m as (select user_id, event_type, round(avg(value), 9) as s from events group by 1, 2) select x.event_type as a, y.event_type as b, sum((x.s > y.s)::bigint)::bigint as wins_a, sum((x.s < y.s)::bigint)::bigint as wins_b, count(*) as n, round(sum((x.s > y.s)::bigint) / count(*), 6) as rate_a from m x join m y on x.user_id = y.user_id and x.event_type < y.event_type group by 1, 2",
     "q_weighted_loss": "with a as (select event_type, value / 100 as loss, coalesce(json_extract(props, '$.k')::bigint, 0) as k from events) select event_type, round(sum(loss * k) / sum(k), 6) as loss, round(exp(sum(loss * k) / sum(k)), 6) as perplexity, round(avg((loss < 0.5)::int), 6) as accuracy, round(stddev_pop(loss), 6) as spread from a group by 1",
-    "q_rolling_training": "with a as (select *, value / 100 as loss, event_id % 13 / 1e4 as lr, value * 10 as tokens, event_id % 7 + 1.0 as seconds, event_id % 17 * 1.0 as memory, event_id % 101 * 1.0 as utilization from events) select event_id, " + ", ".join(f"round(avg({c}::double) over w, 10) as {c}" for c in ("loss", "lr", "tokens", "seconds", "memory", "utilization")) + ", round(sum(tokens) over w / sum(seconds::double) over w, 4) as throughput from a window w as (partition by user_id order by ts, event_id rows between 99 preceding and current row)",
+    "q_rolling_training": "with a as (select *, value / 100 as loss, event_id % 13 / 1e4 as lr, value * 10 as tokens, event_id % 7 + 1.0 as seconds, event_id % 17 * 1.0 as memory, event_id % 101 * 1.0 as utilization from events) select event_id, " + ", ".join(f"round(avg({c}::double) over w, 10) as {c}" for c in ("loss", "lr", "tokens", "seconds", "memory", "utilization")) + ", round(sum(tokens) over w / sum(seconds::double) over w, 8) as throughput from a window w as (partition by user_id order by ts, event_id rows between 99 preceding and current row)",
     "q_utilization_alerts": "with a as (select user_id, round(avg(value) over (partition by user_id order by ts, event_id rows between 59 preceding and current row), 6) as m from events) select user_id, count(*) as n, sum((m >= 60)::bigint)::bigint as alerts, max(m) as highest from a group by 1",
     "q_stage_profile": "select event_type, count(*) as n, round(sum(value), 3) as total, round(avg(value), 6) as mean, round(min(value), 6) as least, round(max(value), 6) as most from events group by 1",
     "q_least_loaded": "with g as (select event_type, count(*) as n, round(avg(value), 9) as m from events group by 1) select arg_min(event_type, struct_pack(a := n, b := event_type)) as fewest_requests, arg_min(event_type, struct_pack(a := m, b := event_type)) as least_latency from g",
