@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ from millrace.runtime import materialize, spread
 WORD = re.compile(r"\w+")
 SKETCH_BITS = 20
 SLICES = 64
+SALTS = 256  # first sums of a slice
 
 
 def body(columns: list[str]) -> F.Column:
@@ -97,13 +99,17 @@ def sketch(runs: DataFrame) -> np.ndarray:
         for b in batches:
             for x in b["runs"]:
                 np.add.at(c, np.asarray(x, np.int64) & (size - 1), 1)
-        yield pd.DataFrame({"slice": range(SLICES), "c": [x.tobytes() for x in np.split(c, SLICES)]})
+        at = TaskContext.get().partitionId() % SALTS
+        yield pd.DataFrame({"slice": range(SLICES), "salt": at, "c": [x.tobytes() for x in np.split(c, SLICES)]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, np.int64) for x in pdf["c"])
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "c": [total.tobytes()]})
+        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "salt": [pdf["salt"].iloc[0]], "c": [total.tobytes()]})
 
-    rows = runs.mapInPandas(part, "slice int, c binary").groupBy("slice").applyInPandas(add, "slice int, c binary").collect()
+    # added up in two levels, so that no task gathers a slice of every partition
+    shape = "slice int, salt int, c binary"
+    some = runs.mapInPandas(part, shape).groupBy("slice", "salt").applyInPandas(add, shape)
+    rows = some.groupBy("slice").applyInPandas(add, shape).collect()
     out = np.zeros((SLICES, size // SLICES), np.int64)
     for r in rows:
         out[r.slice] = np.frombuffer(r.c, np.int64)
@@ -134,13 +140,81 @@ def _prefixes(sets_: DataFrame, key: str, counts: np.ndarray, t: float) -> DataF
     return sets_.mapInPandas(run, f"run long, `{key}` {kind}, n int, pos int")
 
 
-def _small(rows: DataFrame, key: str, t: float) -> DataFrame:
-    """Candidate pairs of small regions that the length and position bounds let through."""
-    a = rows.select("run", F.col(key).alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = rows.select("run", F.col(key).alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+def _regions(rows: DataFrame, key: str, t: float, leaf: int) -> DataFrame:
+    """Walk of the regions, after one shuffle by run: a, b, pa, pb, na, nb of the pairs of regions of up to ``leaf`` sets that
+    the length and position bounds let through, and run, a (b null) of the sets of larger regions.
+
+    A partition is sorted by run and streamed, so a region is never held beyond ``leaf`` sets.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def pairs(g: dict[str, np.ndarray]) -> pd.DataFrame:
+        run, k, n, pos = g["run"], g["k"], g["n"], g["pos"]
+        out = []
+        for d in range(1, leaf):
+            i = np.flatnonzero(run[d:] == run[:-d])
+            if not len(i):
+                break
+            j = i + d
+            less = np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * t - 1e-9
+            need = np.ceil((n[i] + n[j]) * (t / (1 + t)) - 1e-9)
+            ok = less & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (k[i] != k[j])
+            i, j = i[ok], j[ok]
+            swap = k[i] > k[j]
+            x, y = np.where(swap, j, i), np.where(swap, i, j)
+            out.append(pd.DataFrame({"run": pd.array([None] * len(x), "Int64"), "a": k[x], "b": k[y], "pa": pos[x], "pb": pos[y], "na": n[x], "nb": n[y]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["run", "a", "b", "pa", "pb", "na", "nb"])
+
+    def large(run: np.ndarray, k: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"run": pd.array(run, "Int64"), "a": k, "b": pd.Series([None] * len(k), dtype="object"), "pa": 0, "pb": 0, "na": 0, "nb": 0})
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] | None = None
+        over: int | None = None  # the run of a large region that is being streamed
+        for b in batches:
+            g = {"run": b["run"].to_numpy(), "k": b[key].to_numpy(), "n": b["n"].to_numpy(), "pos": b["pos"].to_numpy()}
+            if held is not None:
+                g = {c: np.concatenate([held[c], g[c]]) for c in g}
+            run = g["run"]
+            if over is not None:
+                m = int(np.searchsorted(run, over, "right"))
+                if m:
+                    yield large(run[:m], g["k"][:m])
+                    g = {c: v[m:] for c, v in g.items()}
+                    run = g["run"]
+                if len(run):
+                    over = None
+            if not len(run):
+                held = None
+                continue
+            starts = np.r_[0, np.flatnonzero(run[1:] != run[:-1]) + 1]
+            size = np.diff(np.r_[starts, len(run)])
+            each = np.repeat(size, size)
+            last = starts[-1]
+            whole = np.arange(len(run)) < last
+            big = each > leaf
+            if (big & whole).any():
+                yield large(run[big & whole], g["k"][big & whole])
+            take = whole & ~big & (each > 1)
+            if take.any():
+                yield pairs({c: v[take] for c, v in g.items()})
+            if size[-1] > leaf:
+                yield large(run[last:], g["k"][last:])
+                over, held = int(run[last]), None
+            else:
+                held = {c: v[last:] for c, v in g.items()}
+        if held is not None and len(held["run"]) > 1:
+            yield pairs(held)
+
+    near = rows.repartition("run").sortWithinPartitions("run")
+    return near.mapInPandas(walk, f"run long, a {kind}, b {kind}, pa int, pb int, na int, nb int")
+
+
+def _bounded(met: DataFrame, t: float) -> DataFrame:
+    """Candidate pairs: those whose shared first runs, and what may follow the last of them, reach the overlap that t asks for."""
+    g = met.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     need = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9)
-    got = a.join(b, "run").where("a < b").where((F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-9) & (1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= need))
-    return got.select("a", "b").distinct()
+    return g.where(F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= need).select("a", "b")
 
 
 def distance(x: np.ndarray, y: np.ndarray) -> float:
@@ -243,11 +317,9 @@ def similar_sets(reps: DataFrame, key: str, t: float, leaf: int = 256) -> DataFr
     """Pairs a < b of sets with Jaccard similarity of at least ``t``: a, b, similarity."""
     kind = reps.schema[key].dataType.simpleString()
     counts = sketch(reps)
-    rows = materialize(_prefixes(reps, key, counts, t), "prefixes")
-    sizes = rows.groupBy("run").agg(F.count("*").alias("_size")).where("_size > 1")
-    sized = rows.join(sizes, "run")
-    cand = _small(sized.where(F.col("_size") <= leaf), key, t)
-    large = sized.where(F.col("_size") > leaf).select(F.col("run").cast("string").alias("cell"), key)
+    met = materialize(_regions(_prefixes(reps, key, counts, t), key, t, leaf), "regions")
+    cand = _bounded(met, t)
+    large = met.where("b is null").select(F.col("run").cast("string").alias("cell"), F.col("a").alias(key))
     if not large.isEmpty():
         cand = cand.unionByName(metric_join(large.join(reps.select(key, "runs"), key), key, t, leaf)).distinct()
     x = reps.select(F.col(key).alias("a"), F.col("runs").alias("_ra"), F.col("n").alias("_na"))
