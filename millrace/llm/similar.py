@@ -235,7 +235,7 @@ def _leaf_pairs(keys: list, arrays: list[np.ndarray], t: float) -> list[tuple]:
     return out
 
 
-def metric_join(cells: DataFrame, key: str, t: float, leaf: int = 256, pivots: int = 16, depth: int = 6) -> DataFrame:
+def metric_join(cells: DataFrame, key: str, t: float, leaf: int = 12, pivots: int = 16, depth: int = 6) -> DataFrame:
     """Pairs within distance 1 - t inside of each cell: ``cells`` holds cell, key, runs.
 
     Cells above ``leaf`` are cut by pivots, again and again; the windows keep every pair together in some cell.
@@ -313,7 +313,7 @@ def _by_blocks(big: DataFrame, key: str, t: float, leaf: int) -> DataFrame:
     return spread_rows.groupBy("_task").applyInPandas(join_task, f"a {kind}, b {kind}")
 
 
-def similar_sets(reps: DataFrame, key: str, t: float, leaf: int = 256) -> DataFrame:
+def similar_sets(reps: DataFrame, key: str, t: float, leaf: int = 12) -> DataFrame:
     """Pairs a < b of sets with Jaccard similarity of at least ``t``: a, b, similarity."""
     kind = reps.schema[key].dataType.simpleString()
     counts = sketch(reps)
@@ -345,7 +345,7 @@ def classes(df: DataFrame, key: str, columns: list[str], width: int = 3) -> tupl
     return members, materialize(reps, "reps")
 
 
-def similar_records(df: DataFrame, key: str = "rec_id", columns: list[str] | None = None, width: int = 5, t: float = 0.8, leaf: int = 256) -> tuple[DataFrame, DataFrame]:
+def similar_records(df: DataFrame, key: str = "rec_id", columns: list[str] | None = None, width: int = 5, t: float = 0.8, leaf: int = 12) -> tuple[DataFrame, DataFrame]:
     """Members (key, class) and pairs of classes (a, b, similarity)."""
     members, reps = classes(df, key, columns or ["text"], width)
     return members, materialize(similar_sets(reps, key, t, leaf), "links")
