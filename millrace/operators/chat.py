@@ -87,7 +87,7 @@ def recent(turns: Column, n: int = 10) -> Column:
 
 def last_of(turns: Column, role: str) -> Column:
     """CH12: the last message of a role."""
-    return F.element_at(F.filter(turns, lambda m: m["role"] == role), -1)["content"]
+    return F.try_element_at(F.filter(turns, lambda m: m["role"] == role), F.lit(-1))["content"]
 
 
 def token_estimate(turns: Column) -> Column:
@@ -98,7 +98,7 @@ def token_estimate(turns: Column) -> Column:
 def summary(turns: Column) -> Column:
     """CH13: all messages of short conversations, else the beginnings of the first and the last."""
     whole = F.array_join(F.transform(turns, lambda m: F.concat(m["role"], F.lit(": "), F.substring(m["content"], 1, 50))), " | ")
-    ends = F.concat(F.lit("Started: "), F.substring(F.get(turns, F.lit(0))["content"], 1, 50), F.lit("... Ended: "), F.substring(F.element_at(turns, -1)["content"], 1, 50))
+    ends = F.concat(F.lit("Started: "), F.substring(F.get(turns, F.lit(0))["content"], 1, 50), F.lit("... Ended: "), F.substring(F.try_element_at(turns, F.lit(-1))["content"], 1, 50))
     return F.when(F.size(turns) <= 4, whole).otherwise(ends)
 
 

@@ -25,7 +25,7 @@ def text_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """SRC5: path, line_no (of JSONL lines; 0 for whole files) and text of a file or folder, recursively; blank ones are left out."""
     whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _glob(TEXT_SUFFIXES)).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.lit(0).cast("long").alias("line_no"), F.col("value").alias("text"))
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").text(folder).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line_no"), json_line_text(F.col("value")).alias("text"))
-    return whole.unionByName(lines).where("trim(text) <> ''")
+    return whole.unionByName(lines).where(F.col("text").rlike(r"\S"))
 
 
 def raw_records(spark: SparkSession, folder: str) -> DataFrame:
