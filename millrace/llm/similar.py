@@ -18,7 +18,9 @@ Candidates from small regions pass a length and a position bound, and every
 candidate is checked by exact intersection, so pairs are exact at any size.
 
 Why not pivots alone: unrelated texts lie at distances between 0.9 and 1 of each
-other and of every pivot, so with r = 0.3 every window covers every cell.
+other and of every pivot, so with r = 0.3 windows cover nearly every cell: on 400 sets of
+the tables at 0.1, a set went into 99.3 % of the cells of 16 pivots, 97.3 % of 64 and
+88.8 % of 256. So pivots join only what the first level leaves in one region.
 
 Defined results: the body is the first of the columns that is neither null nor empty;
 records without one are in no pair and form groups of their own.  Bodies of fewer words than a
@@ -29,7 +31,7 @@ count as one record.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,9 +44,9 @@ from millrace.llm.common import table
 from millrace.runtime import materialize, spread
 
 WORD = re.compile(r"\w+")
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SLICES = 64
-SALTS = 256  # first sums of a slice
+GATHER = 512  # partitions whose slices one task adds up first
 
 
 def body(columns: list[str]) -> F.Column:
@@ -91,28 +93,36 @@ def sets(df: DataFrame, key: str, columns: list[str], width: int) -> DataFrame:
 
 
 def sketch(runs: DataFrame) -> np.ndarray:
-    """Count-min row of how many sets hold a run, by the run's low bits: a fixed number of counts, whatever the data."""
+    """Count-min row of how many sets hold a run, by the run's low bits: a fixed number of counts, whatever the data.
+
+    A partition's counts are sent in two bytes (more than 65,535 are as good as that many: only the order counts), and are
+    added up in two levels, so that no task gathers a slice of every partition.
+    """
     size = 1 << SKETCH_BITS
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = np.zeros(size, np.int64)
+        c = np.zeros(size, np.int32)
         for b in batches:
             for x in b["runs"]:
                 np.add.at(c, np.asarray(x, np.int64) & (size - 1), 1)
-        at = TaskContext.get().partitionId() % SALTS
-        yield pd.DataFrame({"slice": range(SLICES), "salt": at, "c": [x.tobytes() for x in np.split(c, SLICES)]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in pdf["c"])
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "salt": [pdf["salt"].iloc[0]], "c": [total.tobytes()]})
-
-    # added up in two levels, so that no task gathers a slice of every partition
-    shape = "slice int, salt int, c binary"
-    some = runs.mapInPandas(part, shape).groupBy("slice", "salt").applyInPandas(add, shape)
-    rows = some.groupBy("slice").applyInPandas(add, shape).collect()
-    out = np.zeros((SLICES, size // SLICES), np.int64)
+        small = np.minimum(c, 65535).astype(np.uint16)
+        yield pd.DataFrame({"slice": range(SLICES), "group": TaskContext.get().partitionId() // GATHER, "c": [x.tobytes() for x in np.split(small, SLICES)]})
+
+    def add(kind: type) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(size // SLICES, np.int64)
+            for x in pdf["c"]:
+                total += np.frombuffer(x, kind)
+            return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "group": [pdf["group"].iloc[0]], "c": [np.minimum(total, (1 << 31) - 1).astype(np.int32).tobytes()]})
+
+        return one
+
+    shape = "slice int, group int, c binary"
+    some = runs.mapInPandas(part, shape).groupBy("slice", "group").applyInPandas(add(np.uint16), shape)
+    rows = some.groupBy("slice").applyInPandas(add(np.int32), shape).collect()
+    out = np.zeros((SLICES, size // SLICES), np.int32)
     for r in rows:
-        out[r.slice] = np.frombuffer(r.c, np.int64)
+        out[r.slice] = np.frombuffer(r.c, np.int32)
     return out.ravel()
 
 
@@ -235,7 +245,7 @@ def _leaf_pairs(keys: list, arrays: list[np.ndarray], t: float) -> list[tuple]:
     return out
 
 
-def metric_join(cells: DataFrame, key: str, t: float, leaf: int = 12, pivots: int = 16, depth: int = 6) -> DataFrame:
+def metric_join(cells: DataFrame, key: str, t: float, leaf: int = 256, pivots: int = 16, depth: int = 6) -> DataFrame:
     """Pairs within distance 1 - t inside of each cell: ``cells`` holds cell, key, runs.
 
     Cells above ``leaf`` are cut by pivots, again and again; the windows keep every pair together in some cell.
@@ -313,7 +323,7 @@ def _by_blocks(big: DataFrame, key: str, t: float, leaf: int) -> DataFrame:
     return spread_rows.groupBy("_task").applyInPandas(join_task, f"a {kind}, b {kind}")
 
 
-def similar_sets(reps: DataFrame, key: str, t: float, leaf: int = 12) -> DataFrame:
+def similar_sets(reps: DataFrame, key: str, t: float, leaf: int = 256) -> DataFrame:
     """Pairs a < b of sets with Jaccard similarity of at least ``t``: a, b, similarity."""
     kind = reps.schema[key].dataType.simpleString()
     counts = sketch(reps)
@@ -345,7 +355,7 @@ def classes(df: DataFrame, key: str, columns: list[str], width: int = 3) -> tupl
     return members, materialize(reps, "reps")
 
 
-def similar_records(df: DataFrame, key: str = "rec_id", columns: list[str] | None = None, width: int = 5, t: float = 0.8, leaf: int = 12) -> tuple[DataFrame, DataFrame]:
+def similar_records(df: DataFrame, key: str = "rec_id", columns: list[str] | None = None, width: int = 5, t: float = 0.8, leaf: int = 256) -> tuple[DataFrame, DataFrame]:
     """Members (key, class) and pairs of classes (a, b, similarity)."""
     members, reps = classes(df, key, columns or ["text"], width)
     return members, materialize(similar_sets(reps, key, t, leaf), "links")
