@@ -71,11 +71,10 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Spread a scan of few splits over the cores before per-row work that costs CPU.
 
-    The scan's own number of partitions decides, so files that give enough splits are left alone and nothing is shuffled at
-    scale. A plan with a shuffle of its own (an adaptive one) is left alone too; asking it would run it.
+    Only a scan that leaves more than half of the cores idle is spread, so at scale nothing is shuffled. A plan with a shuffle of its own (an adaptive one) is left alone too; asking it would run it.
     """
     want = least or df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution()
     if plan.executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
         return df
-    return df.repartition(want) if plan.toRdd().getNumPartitions() < want else df
+    return df.repartition(want) if 2 * plan.toRdd().getNumPartitions() < want else df
