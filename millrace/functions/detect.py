@@ -81,29 +81,28 @@ def _best(scores: list[tuple[str, Column]]) -> Column:
     return F.array_max(F.array(*(F.struct(s.cast("double").alias("s"), F.lit(-i).alias("o"), F.lit(lang).alias("l")) for i, (lang, s) in enumerate(scores))))
 
 
-def by_content(c: Column, least: float = 0.3) -> Column:
-    """LD3: struct s, o, l, or null; texts under 50 characters have none."""
-    best = _best([(lang, sum((c.rlike(p).cast("int") for p in ps), F.lit(0)) / len(ps)) for lang, ps in SIGNATURES.items()])
-    return F.when((F.length(c) >= 50) & (best["s"] >= least), best)
+def by_content(c: Column) -> Column:
+    """LD3: struct s, o, l of the language with the highest share of its signatures; ``cascade`` holds it against the least."""
+    return _best([(lang, sum((c.rlike(p).cast("int") for p in ps), F.lit(0)) / len(ps)) for lang, ps in SIGNATURES.items()])
 
 
-def by_letters(c: Column, least: float = 0.2) -> Column:
-    """LD4: struct s, o, l (unknown under ``least``), or null for texts under 100 characters."""
-    head = F.lower(F.substring(c, 1, 500))
-    best = _best([(lang, sum((head.contains(x).cast("int") for x in sorted(set(sig))), F.lit(0)) / len(set(sig))) for lang, sig in LETTERS.items()])
-    return F.when(F.length(c) >= 100, F.struct(best["s"].alias("s"), best["o"].alias("o"), F.when(best["s"] >= least, best["l"]).otherwise("unknown").alias("l")))
+def by_letters(head: Column) -> Column:
+    """LD4: struct s, o, l of the language with the highest share of its letters in ``head``, the bound first 500 characters in lower case."""
+    return _best([(lang, sum((head.contains(x).cast("int") for x in sorted(set(sig))), F.lit(0)) / len(set(sig))) for lang, sig in LETTERS.items()])
 
 
-def cascade(path: Column, c: Column) -> Column:
-    """LD5: struct language, confidence, method, is_code of the first step that tells."""
+def cascade(path: Column, c: Column, content: Column, letters: Column) -> Column:
+    """LD5: struct language, confidence, method, is_code of the first step that tells; ``content`` and ``letters`` are the
+    results of ``by_content`` and ``by_letters``, bound so that they aren't worked out for each mention."""
 
     def found(lang: Column, confidence: Column, method: str, code: bool) -> Column:
         return F.when(lang.isNotNull(), F.struct(lang.alias("language"), confidence.cast("double").alias("confidence"), F.lit(method).alias("method"), F.lit(code).alias("is_code")))
 
-    content, letters = by_content(c), by_letters(c)
+    signed = F.when((F.length(c) >= 50) & (content["s"] >= 0.3), content["l"])
+    spoken = F.when(F.length(c) >= 100, F.when(letters["s"] >= 0.2, letters["l"]).otherwise("unknown"))
     return F.coalesce(
         found(by_extension(path), F.lit(0.95), "extension", True), found(by_shebang(c), F.lit(0.9), "shebang", True),
-        found(content["l"], content["s"], "content", True), found(letters["l"], letters["s"], "ngram", False), found(F.lit("unknown"), F.lit(0.0), "none", False),
+        found(signed, content["s"], "content", True), found(spoken, letters["s"], "ngram", False), found(F.lit("unknown"), F.lit(0.0), "none", False),
     )
 
 

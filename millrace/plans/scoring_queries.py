@@ -181,7 +181,9 @@ PATHS = '{"python": ".py", "javascript": ".mjs", "rust": ".RS", "go": ".go", "sq
 
 def q_lang_cascade(s, d):
     """LD1 to LD5."""
-    x = bind(_paths(s, d), ["doc_id"], r=D.cascade(F.col("path"), F.col("text")))
+    x = bind(_paths(s, d), ["doc_id", "path", "text"], head=F.lower(F.substring("text", 1, 500)))
+    x = bind(x, ["doc_id", "path", "text"], content=D.by_content(F.col("text")), letters=D.by_letters(F.col("head")))
+    x = bind(x, ["doc_id"], r=D.cascade(*map(F.col, ("path", "text", "content", "letters"))))
     return x.select("doc_id", "r.language", r6("r.confidence").alias("confidence"), "r.method", "r.is_code")
 
 

@@ -252,7 +252,7 @@ def test_local_folder_only_for_local_masters():
 
 def test_language_of_files(spark):
     df = spark.createDataFrame([("a/b.PY", "x"), ("run", "#!/usr/bin/env node\nx"), ("x", "import os\nfrom a import b\ndef f(x):\n    return 1\nclass A:\n    pass\n" * 2), ("y", "the cat and the dog are here with the others that you have not been told of before, and more of this"), ("z", "")], "p string, t string")
-    got = [(r.c.language, r.c.method) for r in df.select(D.cascade(F.col("p"), F.col("t")).alias("c")).collect()]
+    got = [(r.c.language, r.c.method) for r in df.select("p", "t", D.by_content(F.col("t")).alias("c"), D.by_letters(F.lower("t")).alias("l")).select(D.cascade(*map(F.col, "ptcl")).alias("c")).collect()]
     assert got[:3] == [("python", "extension"), ("javascript", "shebang"), ("python", "content")] and got[3][1] == "ngram" and got[4] == ("unknown", "none")
 
 
