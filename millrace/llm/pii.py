@@ -7,8 +7,9 @@ character keeps the label of the window in whose middle it lies most), and spans
 the stitched labels.  A last exact check (``possible``) drops spans that can't be of their kind
 and moves starts to word starts.
 
-``regions`` leaves out only what that check would refuse whatever the labels: a span needs a
-digit, an at sign (or the word at before a dot), or two capitalised words that begin no sentence.
+``regions`` leaves out nearly only what that check would refuse whatever the labels: a span needs a
+digit, an at sign (or the word at), or two capitalised words; a name whose second one is a common
+sentence opener or stands more than APART characters off is lost.
 
 The weights beside this module were trained by ``millrace.llm.pii_train``.
 
@@ -174,7 +175,7 @@ SIGN = re.compile(r"\d(?:[\w.,:/()+-]*\d)?|@|\b[aA][tT]\b")
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """The stretches outside of which ``possible`` accepts no span: MARGIN characters around each sign of one."""
+    """The stretches that are decoded: MARGIN characters around each sign of a span."""
     at = [m.span() for m in SIGN.finditer(text)]
     last = None
     for m in NAME_WORD.finditer(text):
