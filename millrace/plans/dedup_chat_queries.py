@@ -34,8 +34,8 @@ def q_substring_pairs(s, d):
 def q_combined_dedup(s, d):
     """DD14: what is left after exact, near and substring deduplication, by source."""
     x = t(s, d).where("text is not null and text <> ''").select("doc_id", "text", "source")
-    left = x.join(N.minhash_dedup(x, "doc_id", "text").where("method = 'unique'").select("doc_id"), "doc_id")
-    return N.substring_survivors(left, "doc_id", "text").join(x, "doc_id").groupBy("source").agg(F.count("*").alias("n"))
+    left = N.minhash_dedup(x, "doc_id", "text").where("method = 'unique'").select("doc_id")
+    return N.substring_survivors(x, "doc_id", "text", left).join(x, "doc_id").groupBy("source").agg(F.count("*").alias("n"))
 
 
 def q_md5_dedup(s, d):

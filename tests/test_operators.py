@@ -181,6 +181,17 @@ def test_substrings_against_brute_force(spark):
     assert {first[t] for t in kept} <= got and not {first[t] for t in first if t not in kept} & got
 
 
+def test_signer_equals_signature_of_shingles():
+    a, b = N.coefficients(128)
+    sign = N.Signer(a, b)
+    for text in ["", "ab", "abcdef", "aaaaaaaaaaaa", "caf\u00e9 \u4e2d\u6587 \U0001f600 and plain text " * 40, "\x00" * 9]:
+        assert (sign(text) == N.signature(N.char_shingles(text), a, b)).all()
+    rest = np.arange(20, dtype=np.int64) * 7919 % N.PRIME  # the least and largest values too
+    edge = N.Signer(np.array([1, N.PRIME - 1]), np.array([0, N.PRIME - 1]))
+    edge.hashes = lambda text: np.append(rest, N.PRIME - 1).astype(np.uint64)
+    assert edge("abcdefg").tolist() == [min((x * h + y) % N.PRIME for h in [*rest.tolist(), N.PRIME - 1]) for x, y in ((1, 0), (N.PRIME - 1, N.PRIME - 1))]
+
+
 # --- files ------------------------------------------------------------------------------------------------------------
 
 
