@@ -192,6 +192,18 @@ def test_signer_equals_signature_of_shingles():
     assert edge("abcdefg").tolist() == [min((x * h + y) % N.PRIME for h in [*rest.tolist(), N.PRIME - 1]) for x, y in ((1, 0), (N.PRIME - 1, N.PRIME - 1))]
 
 
+def test_substring_pairs_write_no_texts_but_those_of_candidates(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 26, 3000)) for _ in range(60)]
+    texts += [texts[5][700:1900], texts[7]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    before = len(runtime._WRITTEN)
+    assert [(r.a, r.b) for r in N.substring_pairs(df, "id", "text").collect()] == [(60, 5)]
+    fs = spark._jvm.org.apache.hadoop.fs
+    wrote = sum(fs.Path(x).getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(fs.Path(x)).getLength() for x in runtime._WRITTEN[before:])
+    assert wrote < sum(map(len, texts)) / 2
+
+
 # --- files ------------------------------------------------------------------------------------------------------------
 
 
