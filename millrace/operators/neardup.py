@@ -16,6 +16,7 @@ from millrace.runtime import materialize, spread
 PRIME = (1 << 31) - 1
 BITS = 27  # log2 of the bits that runs looked for are marked in
 FEW = 1 << 20  # keys that are broadcast at most
+CHARS = 1 << 24  # characters of texts that are broadcast at most
 BASE = 0x9E3779B97F4A7C15  # of the polynomial hash of runs, modulo 2^64
 MIX = (1, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)  # a run's three bits are the top ones of its hash times these
 
@@ -105,20 +106,25 @@ class Signer:
 def different_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """k, t: each different text that is neither null nor empty, with its least key.
 
-    Only texts whose hash occurs again are shuffled, unless there are very many of those.
+    Digests and keys tell which row of a text that occurs again stays, and are sent to the rows. Only texts that one key has
+    twice are shuffled, unless very many texts occur again.
     """
-    d = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    h = F.xxhash64("t").alias("h")
-    busy = materialize(d.groupBy(h).agg(F.count("*").alias("c")).where("c > 1").select("h"), "copies")
-    n = busy.count()
+    d = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    busy = d.groupBy("h", "k").agg(F.count("*").alias("m")).groupBy("h").agg(F.sum("m").alias("c"), (F.max("m") > 1).alias("twice")).where("c > 1")
+    busy = materialize(busy.select("h", "twice"), "copies")
+    n, twice = busy.agg(F.count("*"), F.max("twice")).first()
 
     def first(x: DataFrame) -> DataFrame:
         return materialize(x.groupBy(F.sha2("t", 256).alias("s")).agg(F.min(F.struct("k", "t")).alias("x")).select("x.*"), "texts")
 
     if n > FEW:
         return first(d)
-    x, busy = d.select("*", h), F.broadcast(busy)
-    return x.join(busy, "h", "left_anti").select("k", "t").unionByName(first(x.join(busy, "h", "left_semi").select("k", "t")))
+    if not n:
+        return d.select("k", "t")
+    stay = d.join(F.broadcast(busy.where("not twice")), "h", "left_semi").groupBy("h", F.unhex(F.sha2("t", 256)).alias("s")).agg(F.min("k").alias("k"))
+    stay = busy.select("h").join(materialize(stay.select("h", "k"), "stay"), "h", "left").groupBy("h").agg(F.collect_list("k").alias("ks"))
+    out = d.join(F.broadcast(materialize(stay, "least")), "h", "left").where("ks is null or array_contains(ks, k)").select("k", "t")
+    return out.unionByName(first(d.join(F.broadcast(busy.where("twice")), "h", "left_semi"))) if twice else out
 
 
 def with_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -214,7 +220,8 @@ def substring_pairs(df: DataFrame, key: str, text: str, most: float = 0.5, chunk
 
     A text that stands in another has all its runs of characters there, so a text is looked for by the run in its middle, whose
     width is the largest power of four within its length, among the runs of the others that some text looks for; what is found
-    is compared in full. Only hashes of runs are shuffled, and the texts of pairs that are left.
+    is compared in full. Only hashes of runs are shuffled; the shorter texts of the pairs that are left are sent to the longer ones,
+    unless there are too many of them: then both are shuffled.
     """
     kind = df.schema[key].dataType.simpleString()
     first = different_texts(df, key, text)
@@ -279,8 +286,11 @@ def substring_pairs(df: DataFrame, key: str, text: str, most: float = 0.5, chunk
     cand = have.alias("l").join(want.alias("s"), F.expr(f"l.h = s.h and s.n < l.n * {most!r}D")).select("a", "b").distinct()
     cand = materialize(cand, "candidates")
     short = with_keys(first.select(F.col("k").alias("a"), F.col("t").alias("_s")), cand.select("a"), "a")
-    long_ = with_keys(first.select(F.col("k").alias("b"), F.col("t").alias("_l")), cand.select("b"), "b")
-    x = cand.join(short, "a").join(long_, "b")
+    long_ = first.select(F.col("k").alias("b"), F.col("t").alias("_l"))
+    if (want.join(cand, "a", "left_semi").agg(F.sum("n")).first()[0] or 0) > CHARS:
+        x = cand.join(short, "a").join(with_keys(long_, cand.select("b"), "b"), "b")
+    else:
+        x = (long_.join(F.broadcast(cand), "b") if cand.count() <= FEW else cand.join(with_keys(long_, cand.select("b"), "b"), "b")).join(F.broadcast(short), "a")
     return x.where((F.length("_s") < F.length("_l") * most) & F.col("_l").contains(F.col("_s"))).select("a", "b")
 
 

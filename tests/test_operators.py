@@ -204,6 +204,34 @@ def test_substring_pairs_write_no_texts_but_those_of_candidates(spark):
     assert wrote < sum(map(len, texts)) / 2
 
 
+def test_substring_pairs_write_no_texts_that_occur_again(spark):
+    rng = np.random.default_rng(8)
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 26, 3000)) for _ in range(60)]
+    texts.append(texts[5][700:1900])
+    df = spark.createDataFrame([(i + 100 * j, t) for i, t in enumerate(texts) for j in (2, 1, 3)], "id long, text string")
+    before = len(runtime._WRITTEN)
+    assert [(r.a, r.b) for r in N.substring_pairs(df, "id", "text").collect()] == [(160, 105)]
+    fs = spark._jvm.org.apache.hadoop.fs
+    wrote = sum(fs.Path(x).getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(fs.Path(x)).getLength() for x in runtime._WRITTEN[before:])
+    assert wrote < sum(map(len, texts)) / 2
+
+
+def test_different_texts_have_their_least_keys(spark):
+    rows = [(7, "a"), (3, "a"), (3, "a"), (5, "b"), (4, "b"), (None, "b"), (3, "c"), (9, "d"), (3, "b b"), (9, "b b"), (1, ""), (2, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert sorted((r.k, r.t) for r in N.different_texts(df, "id", "text").collect()) == [(3, "a"), (3, "b b"), (3, "c"), (4, "b"), (9, "d")]
+
+
+def test_substring_pairs_are_the_same_where_texts_are_shuffled(spark, monkeypatch):
+    df = spark.createDataFrame([(i, ("x%dy" % i) * 20 + "notice") for i in range(40)] + [(90, "notice"), (91, "notice"), (92, "x7y" * 5)], "id long, text string")
+    want = {(90, i) for i in range(40)} | {(92, 7)}
+    for few, chars in ((N.FEW, N.CHARS), (N.FEW, 3), (0, N.CHARS), (0, 3)):
+        monkeypatch.setattr(N, "FEW", few)
+        monkeypatch.setattr(N, "CHARS", chars)
+        got = N.substring_pairs(df, "id", "text").collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
 # --- files ------------------------------------------------------------------------------------------------------------
 
 
