@@ -1,13 +1,13 @@
 """Filling containers of fixed capacity (problem 7).
 
-The fractional configuration LP over the histogram of lengths (a configuration is a
-multiset of lengths that fits) is solved by multiplicative weights: each round, an
-unbounded knapsack by dynamic programming finds the configuration of the highest
-price, takes part of its lengths' texts, and the prices of those lengths fall; the
-best value at given prices yields a dual bound.  Rounded, the configurations get
-whole multiplicities; lengths left over are put together by best fit, again as
-configurations with multiplicities.  Where the rounding isn't shown to be near the
-bound, best fit alone is tried too and the better packing taken.
+The configuration LP over the histogram of lengths (a configuration is a multiset of
+lengths that fits) is solved by multiplicative weights until every text is covered:
+each round, an unbounded knapsack by dynamic programming values every room at the
+prices of the lengths; configurations worth nearly the best are taken while their
+texts last, and the prices of covered lengths fall beside those that are left.  Each
+round's prices give a dual bound.  Rounded, the configurations get whole
+multiplicities; lengths left over are put together by best fit, again as
+configurations with multiplicities.
 All that depends on the histogram only, whose size the capacity bounds.  Texts then
 take the slots of their length by rank, ranks being counted in blocks so that a
 length shared by a third of all texts is spread over many tasks.
@@ -33,20 +33,28 @@ from millrace.llm.tokens import TOKENIZER, count_tokens
 from millrace.runtime import materialize
 
 
-def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths within the capacity with the highest value: unbounded knapsack, one vector step a length.
+def worths(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
+    """The highest value within each room up to the capacity: unbounded knapsack, one vector step a length.
 
     Along each residue class of a length, taking it k times is a running maximum of best[c] - (c // length) * value.
     """
     best = np.zeros(capacity + 1)
-    for ell, v in zip(lengths, values):
+    for ell, v in zip(lengths.tolist(), values.tolist()):
         rows = -(-(capacity + 1) // ell)
-        grid = np.full(rows * ell, -np.inf)
-        grid[: capacity + 1] = best
-        grid = grid.reshape(rows, ell)
-        gain = v * np.arange(rows)[:, None]
-        best = (np.maximum.accumulate(grid - gain, axis=0) + gain).ravel()[: capacity + 1]
-    best = np.maximum.accumulate(best)
+        if rows == 2:  # it fits once
+            best[ell:] = np.maximum(best[ell:], best[: capacity + 1 - ell] + v)
+        elif rows > 2:
+            grid = np.full(rows * ell, -np.inf)
+            grid[: capacity + 1] = best
+            grid = grid.reshape(rows, ell)
+            gain = v * np.arange(rows)[:, None]
+            best = (np.maximum.accumulate(grid - gain, axis=0) + gain).ravel()[: capacity + 1]
+    return np.maximum.accumulate(best)
+
+
+def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of lengths within the capacity with the highest value."""
+    best = worths(lengths, values, capacity)
     out: dict[int, int] = {}
     c = capacity
     while True:
@@ -65,53 +73,79 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int
 
 @dataclass(frozen=True)
 class Params:
-    """Rounds of the LP at most; step: share of the scarcest length's texts that one configuration covers a round; rate: how fast
-    prices of covered lengths fall; gap: of the primal over the dual at which the LP is solved."""
+    """Rounds of the LP at most; rate: how fast prices of covered lengths fall; gap: share of the best worth that a configuration may
+    lack in the first round, and twice that two rounds later; shares: of the tokens that the LP's configurations are tried for."""
 
     rounds: int = 120
-    step: float = 0.2
     rate: float = 3.0
     gap: float = 0.002
+    shares: tuple[float, ...] = (1.0, 0.98, 0.95, 0.9, 0.8, 0.6, 0.3, 0.0)
 
 
 Config = tuple[tuple[int, int], ...]  # (length, times), ascending
 
 
+def fill(first: int, lengths: np.ndarray, price: np.ndarray, best: np.ndarray, fits: np.ndarray, left: np.ndarray, open_: np.ndarray, least: float) -> dict[int, int]:
+    """The configuration of the highest price with the length at ``first`` and texts that are left, by place; empty if it is worth less than ``least``.
+
+    ``best``: of every room; ``fits``: the first place that fits a room; ``open_``: prices, -inf where no text is left. Of equal
+    ones the longest is taken, so that the short ones, which fit anywhere, last.
+    """
+    config: dict[int, int] = {}
+    worth, room, k = 0.0, len(best) - 1, first
+    while True:
+        config[k] = config.get(k, 0) + 1
+        worth, room = worth + price[k], room - int(lengths[k])
+        if config[k] >= left[k]:
+            open_[k] = -np.inf
+        i = int(fits[room])
+        if i == len(lengths) or worth + best[room] < least:
+            break
+        cand = best[room - lengths[i:]] + open_[i:]
+        top = cand.max()
+        if top <= 0:
+            break
+        k = i + int((cand > top - 1e-9).argmax())
+    for k in config:
+        open_[k] = price[k]
+    return config if worth >= least else {}
+
+
 def relax(whole: dict[int, int], capacity: int, p: Params = Params()) -> tuple[dict[Config, float], float]:
-    """The configuration LP by multiplicative weights: fractional multiplicities and a dual bound on the containers.
+    """The configuration LP by multiplicative weights: multiplicities that cover every text, in the order found, and a dual bound on the containers.
 
     A length's price starts at its share of the capacity and falls exponentially with the share of its texts covered so far,
-    so that what is still uncovered gets dearer beside it. Each round, the knapsack prices a configuration; the value of
-    the best one scales the prices to a feasible dual, and its objective bounds every packing from below.
+    so that what is still uncovered gets dearer beside it. Each round, the knapsack values every room at the prices; for each
+    length, from the longest, the best configuration that has it is taken as often as texts are left, as long as it is worth
+    the best of all but for a share. The share doubles in two rounds, so that within some twenty all is covered. The value of the
+    best configuration of all lengths scales the prices to a feasible dual, whose objective bounds every packing from below.
     """
     lengths = np.array(sorted(whole, reverse=True))
-    n = np.array([whole[e] for e in lengths], float)
-    covered = np.zeros(len(lengths))
+    n = np.array([whole[e] for e in lengths.tolist()], float)
+    left = n.copy()
     used: dict[Config, float] = {}
-    bound = float((n * lengths).sum() / capacity)  # the first prices' dual value
+    bound = 0.0
     for r in range(p.rounds):
-        open_ = covered < 1
-        if not open_.any():
-            break
-        if r >= 8 and r & (r - 1) == 0 and sum(round_down(used, whole, capacity).values()) <= bound * (1 + p.gap):
-            break  # primal and dual have met
-        price = lengths / capacity * np.exp(-p.rate * covered)
-        config = knapsack(lengths[open_], price[open_], capacity)
-        if open_.all():  # only prices of all lengths give a dual
-            best = max(sum(price[np.searchsorted(-lengths, -e)] * k for e, k in config.items()), 1e-12)
-            bound = max(bound, float((n * price).sum() / best))
-        if not config:
+        at = np.flatnonzero(left > 0)
+        if not len(at):
             break
-        at = {e: int(np.searchsorted(-lengths, -e)) for e in config}
-        left = min(n[i] * (1 - covered[i]) / config[e] for e, i in at.items())
-        amount = min(left, max(1.0, p.step * min(n[i] / config[e] for e, i in at.items())))
-        key = tuple(sorted(config.items()))
-        used[key] = used.get(key, 0.0) + amount
-        for e, i in at.items():
-            covered[i] += config[e] * amount / n[i]
-            if covered[i] > 1 - 1e-9:
-                covered[i] = 1.0
-    return used, bound
+        prices = lengths / capacity * np.exp(-p.rate * (1 - left / n))
+        own, price, free = lengths[at], prices[at], left[at]
+        best = worths(own, price, capacity)
+        bound = max(bound, float((n * prices).sum() / (best if len(at) == len(n) else worths(lengths, prices, capacity))[capacity]))
+        least = best[capacity] * (1 - p.gap * 2 ** (r / 2))
+        open_, fits = price.copy(), np.searchsorted(-own, -np.arange(capacity + 1))
+        for i in range(len(own)):
+            while free[i] > 0 and price[i] + best[capacity - own[i]] >= least and (config := fill(i, own, price, best, fits, free, open_, least)):
+                amount = float(min(free[k] // m for k, m in config.items()))
+                key = tuple(sorted((int(own[k]), m) for k, m in config.items()))
+                used[key] = used.get(key, 0.0) + amount
+                for k, m in config.items():
+                    free[k] -= m * amount
+                    if free[k] <= 0:
+                        open_[k] = -np.inf
+        left[at] = free
+    return used, max(bound, float((n * lengths).sum() / capacity))
 
 
 def best_fit(rest: dict[int, int], capacity: int) -> dict[Config, int]:
@@ -145,16 +179,20 @@ def best_fit(rest: dict[int, int], capacity: int) -> dict[Config, int]:
     return plan
 
 
-def round_down(used: dict[Config, float], whole: dict[int, int], capacity: int) -> dict[Config, int]:
-    """Whole multiplicities of the LP's configurations, then what is left by best fit."""
+def round_down(used: dict[Config, float], whole: dict[int, int], capacity: int, share: float = 1.0) -> dict[Config, int]:
+    """Whole multiplicities of the LP's configurations, in the order found, for a share of the tokens; then what is left by best fit."""
     plan: dict[Config, int] = {}
     rest = dict(whole)
-    for key, x in sorted(used.items(), key=lambda c: (c[1] - int(c[1]), c[0])):
+    most = share * sum(e * n for e, n in whole.items())
+    for key, x in used.items():
+        if most <= 0:
+            break
         m = min([int(x + 0.5), *(rest[e] // k for e, k in key)])  # never uses a length more often than it is there
         if m > 0:
             plan[key] = m
             for e, k in key:
                 rest[e] -= k * m
+                most -= e * k * m
     for key, m in best_fit(rest, capacity).items():
         plan[key] = plan.get(key, 0) + m
     return plan
@@ -162,15 +200,21 @@ def round_down(used: dict[Config, float], whole: dict[int, int], capacity: int)
 
 def solve(histogram: dict[int, int], capacity: int, p: Params = Params()) -> tuple[list[tuple[int, dict[int, int]]], int]:
     """Configurations with multiplicities that use up the histogram exactly: (multiplicity, length -> times), and the least
-    number of containers that any packing needs (the LP's dual bound). Of the LP's rounding and best fit alone, the better."""
+    number of containers that any packing needs (the LP's dual bound). The LP's last configurations hold what its first ones
+    left; where best fit packs that better, they are given up, as few as that takes."""
     whole = {int(e): int(n) for e, n in histogram.items() if 0 < e <= capacity and n > 0}
     if not whole:
         return [], 0
     used, bound = relax(whole, capacity, p)
-    plan = round_down(used, whole, capacity)
-    if sum(plan.values()) > bound * (1 + p.gap):  # not shown to be near the best: is it better than no LP?
-        plan = min(plan, best_fit(whole, capacity), key=lambda x: sum(x.values()))
-    return [(m, dict(key)) for key, m in plan.items()], int(np.ceil(bound - 1e-6))
+    least = int(np.ceil(bound - 1e-6))
+    plan: dict[Config, int] = {}
+    for share in p.shares:
+        other = round_down(used, whole, capacity, share)
+        if not plan or sum(other.values()) < sum(plan.values()):
+            plan = other
+        if sum(plan.values()) <= least:  # no packing needs fewer
+            break
+    return [(m, dict(key)) for key, m in plan.items()], least
 
 
 Slots = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by length: first rank, first container, texts a container, tokens used

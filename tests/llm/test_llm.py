@@ -225,6 +225,22 @@ def test_the_lp_beats_best_fit_where_that_is_far_off():
         assert used == hist
 
 
+def test_the_lp_itself_packs_every_text():
+    rng = np.random.default_rng(9)
+    hists = [({51: 600, 27: 600, 26: 600, 23: 1200}, 100, 1.0), ({60: 100, 30: 50}, 100, 1.06), ({700: 3, 41: 1}, 700, 1.34)]
+    hists.append(({int(e): int(n) for e, n in zip(*np.unique(np.minimum(1024, rng.lognormal(5.6, 0.9, 3000).astype(int) + 1), return_counts=True))}, 1024, 1.01))
+    for hist, cap, near in hists:
+        used, bound = packing.relax(hist, cap)
+        got: dict[int, float] = {}
+        for key, x in used.items():
+            assert sum(e * k for e, k in key) <= cap
+            for e, k in key:
+                got[e] = got.get(e, 0) + k * x
+        assert got == hist  # all of it, and none by best fit
+        assert bound - 1e-6 <= sum(used.values()) <= near * bound + 1e-6
+        assert sum(m for m, _ in packing.solve(hist, cap)[0]) <= min(sum(used.values()), sum(packing.best_fit(hist, cap).values()))
+
+
 def test_packing_frame(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(9001, None), (9002, "")], "doc_id long, text string"))
     got = packing.pack(docs, spark.read.parquet(f"{SF}/pack_limits.parquet"), block=20).toPandas()
