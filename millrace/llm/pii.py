@@ -69,10 +69,10 @@ UNIT, SPAN_ = 512, 32  # steps of the activation tables per unit, and units on e
 
 @lru_cache(1)
 def activations() -> tuple[np.ndarray, np.ndarray]:
-    """Sigmoid (of doubled arguments) followed by tanh, and tanh alone, by step: lookups take a fraction of the time of np.tanh."""
+    """Sigmoid (of doubled arguments) followed by tanh in steps, and tanh alone, by step: lookups take a fraction of the time of np.tanh."""
     x = (np.arange(2 * SPAN_ * UNIT) - SPAN_ * UNIT) / UNIT
     tanh = np.tanh(x)
-    return np.concatenate([0.5 + 0.5 * tanh, tanh]).astype(np.float32), tanh.astype(np.float32)
+    return np.concatenate([0.5 + 0.5 * tanh, UNIT * tanh]).astype(np.float32), tanh.astype(np.float32)
 
 
 class Tagger:
@@ -84,15 +84,16 @@ class Tagger:
         self.steps = {}
         for d in "fb":  # scaled so that sums are steps of the tables; gates i, f, o are held at half scale
             t, u = self.w["t" + d], self.w["u" + d]
-            if (np.abs(t).max(0) + np.abs(u).sum(0)).max() >= SPAN_:
+            if (np.abs(t).max(0) + np.abs(u).sum(0)).max() >= SPAN_ - 1:
                 raise ValueError("weights reach beyond the activation tables")
             shift = SPAN_ * UNIT + 0.5 + np.r_[np.zeros(3 * h), np.full(h, 2 * SPAN_ * UNIT)]
             self.steps[d] = (t * UNIT + shift).astype(np.float32), (u * UNIT).astype(np.float32)
-        a, s = self.w["a"], self.w["s"]
-        into = np.maximum(a.max(0), (s - s[0] + a[0, 0])) - a[0, 0]
-        out = np.maximum(a[:, 0] - a[0, 0], 0)
         self.lead = tuple(np.ascontiguousarray(self.w[k][:, 1:] - self.w[k][:, :1]) for k in ("vf", "vb"))
-        self.charge = (self.w["c"][1:] - self.w["c"][0] + (into + out)[1:]).astype(np.float32)
+        self.own = (self.w["c"][1:] - self.w["c"][0])[:, None]
+        a, s = self.w["a"] - self.w["a"][0, 0], self.w["s"] - self.w["s"][0]
+        within, lift = a[1:, 1:], np.zeros(len(a) - 1, np.float32)
+        lift[1::2] = within.diagonal()[1::2] - within.diagonal(1)[::2]  # so that B to I costs as much as I to I
+        self.moves = [np.float32(x.max()) for x in (s[1:] + lift, a[0, 1:] + lift, within + lift - lift[:, None], a[1:, 0] - lift, -lift)]
 
     @classmethod
     def load(cls, path: str = WEIGHTS) -> Tagger:
@@ -104,63 +105,81 @@ class Tagger:
         (table_, u), h = self.steps[d], self.h
         both, tanh = activations()
         n = x.shape[1]
-        hid, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        x = x.astype(np.intp)
+        hid, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)  # cells are held in steps
         out = np.empty((len(x), n, h), np.float32)
-        z, at = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.intp)
-        c, ct = np.empty((n, h), np.float32), np.empty((n, h), np.intp)
+        z, into = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32)
+        at, wide = np.empty((n, 4 * h), np.uint16), np.empty((n, 4 * h), np.intp)  # casts in two steps take half the time of one
+        c, ct, cwide = np.empty((n, h), np.float32), np.empty((n, h), np.int32), np.empty((n, h), np.intp)
+        i, f, o, g = (z[:, k * h : (k + 1) * h] for k in range(4))
         middle = np.float32(SPAN_ * UNIT + 0.5)
         for t in range(len(x)):
             np.matmul(hid, u, out=z)
-            z += table_[x[t]]
+            np.take(table_, x[t], axis=0, out=into, mode="clip")
+            z += into
             np.copyto(at, z, casting="unsafe")
-            np.take(both, at, out=z, mode="clip")
-            cell *= z[:, h : 2 * h]
-            cell += z[:, :h] * z[:, 3 * h :]
-            np.multiply(cell, np.float32(UNIT), out=c)
-            c += middle
+            np.copyto(wide, at)
+            np.take(both, wide, out=z, mode="clip")
+            cell *= f
+            np.multiply(i, g, out=c)
+            cell += c
+            np.add(cell, middle, out=c)
             np.copyto(ct, c, casting="unsafe")
+            np.copyto(cwide, ct)
             hid = out[t]
-            np.take(tanh, ct, out=hid, mode="clip")
-            hid *= z[:, 2 * h : 3 * h]
+            np.take(tanh, cwide, out=hid, mode="clip")
+            hid *= o
         return out
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Best label paths (Viterbi) of windows x (B x T)."""
         lead = self.leads(x)
         path = np.zeros(x.shape, np.uint8)
-        open_ = np.flatnonzero(self.gain(lead) > 0)
+        open_ = np.flatnonzero(self.gain(lead) > -0.01)  # far more than rounding
         if len(open_):
-            path[open_] = self.viterbi(lead[:, open_])
+            path[open_] = self.viterbi(lead[:, :, open_])
         return path
 
     def leads(self, x: np.ndarray) -> np.ndarray:
-        """T x B x (L - 1): how far each label's emission lies above that of no label."""
+        """T x (L - 1) x B: how far each label's score lies above that of no label; labels come before the windows, so that all steps run along these."""
         xt = np.ascontiguousarray(x.T)
         f, b = self.states(xt, "f"), self.states(xt[::-1], "b")
         t, n, h = f.shape
         lead = (f.reshape(-1, h) @ self.lead[0]).reshape(t, n, -1)
         lead += (b.reshape(-1, h) @ self.lead[1]).reshape(t, n, -1)[::-1]
+        lead = np.ascontiguousarray(lead.transpose(0, 2, 1))
+        lead += self.own
         return lead
 
     def gain(self, lead: np.ndarray) -> np.ndarray:
         """For each window a bound on what any labels gain over none at all: where it isn't positive, no label is best.
 
-        Each labelled character is charged with the best transition into its label and out of it to none.
+        It is the gain of the best run of labels if each character took its best label and each step the best transition (of
+        those into, within or out of a run).  ``lift`` moves costs between these: it adds up to nothing over a run.
         """
-        t, n, k = lead.shape
-        return (lead.reshape(t, -1).max(0).reshape(n, k) + self.charge).max(1)
+        start, into, within, out, end = self.moves
+        best = lead.max(1)
+        run = best[0] + start
+        top = np.full_like(run, -np.inf)
+        for e in best[1:]:
+            np.maximum(top, run + out, out=top)
+            run += within
+            np.maximum(run, into, out=run)
+            run += e
+        return np.maximum(top, run + end)
 
     def viterbi(self, lead: np.ndarray) -> np.ndarray:
-        """Best paths for ``leads``; labels come first in the arrays, so that all steps run along the windows."""
-        t, n, k = lead.shape
+        """Best paths for ``leads``."""
+        t, k, n = lead.shape
         e = np.zeros((t, k + 1, n), np.float32)
-        e[:, 1:] = lead.transpose(0, 2, 1)
-        e[:, 1:] += (self.w["c"][1:] - self.w["c"][0])[:, None]
+        e[:, 1:] = lead
         a = self.w["a"]
         best = np.empty_like(e)
         best[0] = e[0] + self.w["s"][:, None]
+        each, sums = np.repeat(a[:, :, None], n, 2), np.empty((*a.shape, n), np.float32)
         for t in range(1, len(e)):
-            np.max(best[t - 1][:, None] + a[:, :, None], axis=0, out=best[t])
+            np.add(best[t - 1][:, None], each, out=sums)
+            np.max(sums, axis=0, out=best[t])
             best[t] += e[t]
         path = np.empty((n, len(e)), np.uint8)
         at = best[-1].argmax(0)
@@ -171,12 +190,12 @@ class Tagger:
         return path
 
 
-SIGN = re.compile(r"\d(?:[\w.,:/()+-]*\d)?|@|\b[aA][tT]\b")
+SIGNS = [re.compile(x) for x in (r"\d(?:[\w.,:/()+-]*\d)?", "@", r"[aA][tT]\b(?<!\w..)")]  # one by one, as each is found by its first character
 
 
 def regions(text: str) -> list[tuple[int, int]]:
     """The stretches that are decoded: MARGIN characters around each sign of a span."""
-    at = [m.span() for m in SIGN.finditer(text)]
+    at = [m.span() for sign in SIGNS for m in sign.finditer(text)]
     last = None
     for m in NAME_WORD.finditer(text):
         if m[0].lower() in STARTERS:
@@ -214,9 +233,7 @@ def decode_all(texts: list[str | None], tagger: Tagger, batch: int = 512) -> lis
     for at in range(0, len(order), batch):
         part = order[at : at + batch]
         width = max(8, len(part[-1]))
-        x = np.full((len(part), width), PAD, np.uint8)
-        for r, k in enumerate(part):
-            x[r, : len(k)] = np.frombuffer(k, np.uint8)
+        x = np.frombuffer(b"".join(k.ljust(width, bytes([PAD])) for k in part), np.uint8).reshape(-1, width)
         path = tagger.decode(x)
         some = path.any(1)
         for r, k in enumerate(part):
@@ -226,27 +243,28 @@ def decode_all(texts: list[str | None], tagger: Tagger, batch: int = 512) -> lis
         if all(distinct[k] is None for _, _, k in own):
             out.append([])
             continue
-        labels, depth = np.zeros(len(t), np.uint8), np.full(len(t), -1)
-        for s, e, k in own:
-            n = e - s
-            mid = np.minimum(np.arange(n), np.arange(n)[::-1])
-            better = mid > depth[s:e]
-            labels[s:e][better] = 0 if distinct[k] is None else distinct[k][better]
-            depth[s:e][better] = mid[better]
+        labels = np.zeros(len(t), np.uint8)
+        starts = [s for s, _, _ in own]
+        at = 0
+        for (s, e, k), after in zip(own, [*starts[1:], len(t)]):
+            # where windows overlap, both are WIDTH long, and a character is deepest in that whose middle is nearest
+            to = (s + after + WIDTH + 1) // 2 if after < e else e
+            if distinct[k] is not None:
+                labels[max(at, s) : to] = distinct[k][max(at, s) - s : to - s]
+            at = to
         out.append(reconcile(t, spans_of(labels, 0)))
     return out
 
 
 def spans_of(path: np.ndarray, offset: int) -> list[tuple[str, int, int]]:
-    out = []
-    kind, start = None, 0
-    for t, y in enumerate([*path.tolist(), 0]):
-        k = KINDS[(y - 1) // 2] if y else None
-        if kind is not None and (k != kind or y and (y - 1) % 2 == 0):
-            out.append((kind, offset + start, offset + t))
-            kind = None
-        if k is not None and kind is None:
-            kind, start = k, t
+    out: list[tuple[str, int, int]] = []
+    own = np.flatnonzero(path)
+    for t, y in zip(own.tolist(), path[own].tolist()):
+        kind, at = KINDS[(y - 1) // 2], offset + t
+        if y % 2 == 0 and out and out[-1][0] == kind and out[-1][2] == at:
+            out[-1] = (kind, out[-1][1], at + 1)
+        else:
+            out.append((kind, at, at + 1))
     return out
 
 

@@ -174,6 +174,39 @@ def test_pii_is_decoded_wherever_a_span_may_be():
     assert np.abs(hid - tagger.states(np.ascontiguousarray(x), "f")[-1]).max() < 0.02
 
 
+def test_pii_most_windows_without_labels_are_told_before_viterbi(spark):
+    tagger = pii.tagger()
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if r.text]
+    cut = {pii.encode(t)[a:b].tobytes() for t in texts for r in pii.regions(t) for a, b in pii.windows(*r) if b - a == pii.WIDTH}
+    lead = tagger.leads(np.array([np.frombuffer(w, np.uint8) for w in sorted(cut)]))
+    some, open_ = tagger.viterbi(lead).any(1), tagger.gain(lead) > 0
+    assert open_[some].all() and some.any()
+    assert open_[~some].mean() < 0.5
+
+
+def test_pii_each_character_has_the_label_of_the_window_that_it_lies_deepest_in(monkeypatch):
+    class Content:
+        def decode(self, x):
+            return np.where(x.sum(1, keepdims=True) % 3, (x * np.arange(1, x.shape[1] + 1)) % 11, 0).astype(np.uint8)
+
+    got = []
+    monkeypatch.setattr(pii, "spans_of", lambda labels, at: got.append(labels) or [])
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab 1\n"), n, p=[0.45, 0.3, 0.2, 0.03, 0.02])) for n in (1, 90, 144, 145, 150, 247, 248, 249, 300, 700, 1500)]
+    pii.decode_all(texts, Content(), batch=1)
+    want = []
+    for t in texts:
+        own = [w for r in pii.regions(t) for w in pii.windows(*r)]
+        labels, depth = np.zeros(len(t), np.uint8), np.full(len(t), -1)
+        for s, e in own:
+            path = Content().decode(np.pad(pii.encode(t[s:e]), (0, max(0, 8 - (e - s))), constant_values=pii.PAD)[None].astype(np.uint8))[0]
+            for i in range(s, e):
+                if (d := min(i - s, e - 1 - i)) > depth[i]:
+                    labels[i], depth[i] = path[i - s], d
+        want += [labels] * bool(labels.any())
+    assert len([x for x in got if x.any()]) == len(want) > 5 and all((a == b).all() for a, b in zip((x for x in got if x.any()), want))
+
+
 def test_pairs_frame(spark):
     chat = spark.read.parquet(f"{SF}/coding_chat.parquet")
     got = pairs.label(chat, spark.read.parquet(f"{SF}/common_words.parquet")).toPandas()
